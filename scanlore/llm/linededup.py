@@ -43,7 +43,7 @@ def lines(html: Column) -> Column:
     text = F.regexp_replace(text, TAGS, "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def boilerplate(prepared: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
