@@ -2,9 +2,248 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+import zipfile
+from collections.abc import Callable, Iterator
+from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .operators import dashboard, detail, export, filters, private_tags, representative, store, studies
+from .plans import inputs, oracle
+from .sources import archives, headers, vendor
+from .streaming import ingest
+
+UID = "study_instance_uid"
+
+
+def series(spark: SparkSession, d: str) -> DataFrame:
+    return store.dedup_series(inputs.files(spark, d))
+
+
+def rep(spark: SparkSession, d: str) -> DataFrame:
+    return representative.enriched(series(spark, d))
+
+
+def _rounded(df: DataFrame, places: int = 6, **more: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, more.get(c, places)) for c, t in df.dtypes if t == "double"})
+
+
+def _of_series(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, d: f(series(spark, d))
+
+
+def _of_rep(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, d: f(rep(spark, d))
+
+
+def _of_both(f: Callable[[DataFrame, DataFrame], DataFrame]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        own = series(spark, d)
+        return f(representative.enriched(own), own)
+
+    return run
+
+
+def _of_tags(f: Callable[[DataFrame, DataFrame], DataFrame]):
+    return lambda spark, d: f(inputs.tags(spark, d), rep(spark, d))
+
+
+def _existing(files: DataFrame) -> DataFrame:
+    """What counts as stored before: studies with an even order key."""
+    return files.filter(F.element_at(F.split(UID, r"\."), 4).cast("long") % 2 == 0)
+
+
+def _of_existing(f: Callable[[DataFrame, DataFrame], DataFrame]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        files = inputs.files(spark, d)
+        return f(files, _existing(files))
+
+    return run
+
+
+def dedup_tags(spark: SparkSession, d: str) -> DataFrame:
+    tags = inputs.tags(spark, d).withColumn("value_hash", F.sha2(F.coalesce("value_text", "value_hex").cast("binary"), 256))
+    kept = store.dedup_tags(store.tags_of_kept_files(tags, series(spark, d)).select(*tags.columns))
+    kind = private_tags.tag_classify(F.col("creator"), F.col("manufacturer"), F.col("value_text"), F.lit(None).cast("double"))
+    return kept.select("series_instance_uid", "group_hex", "element_hex", "creator", kind.alias("classification"))
+
+
+def prune_report(spark: SparkSession, d: str) -> DataFrame:
+    own = series(spark, d)
+    return store.prune_report(own, representative.representative_ingest(own))
+
+
+def prune_tags(spark: SparkSession, d: str) -> DataFrame:
+    kept = store.prune_tags(inputs.tags(spark, d), representative.representative_ingest(series(spark, d)))
+    return kept.select("series_instance_uid", "group_hex", "element_hex")
+
+
+def filter_combine(spark: SparkSession, d: str) -> DataFrame:
+    own = series(spark, d)
+    r = representative.enriched(own)
+    return filters.filter_combine(filters.range_filter(r, uptake=("10", None)), filters.timing_filter(r, "ok"), filters.qa_score_filter(r, 4), filters.composition_filter(own, "missing_ct"))
+
+
+EXPORTED = ["patient_id", "patient_sex", "study_date", "series_number", "modality", "uptake_delay", "dose_per_kg", "bmi"]
+
+
+def _header_bytes(files: DataFrame, implicit: bool = True) -> DataFrame:
+    """path and content of a header for each file row, every other one implicit, with a private block and a tracer sequence."""
+    columns = ["file_path", "patient_id", "patient_weight", UID, "study_date", "series_instance_uid", "series_number", "modality", "manufacturer", "acquisition_time", "injection_time", "radiopharmaceutical", "injected_activity", "half_life", "ctdivol", "number_of_slices"]
+    kinds = {c: headers.KINDS[headers.TAGS[c]].decode() for c in columns if c in headers.TAGS}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                row = {k: v for k, v in row._asdict().items() if not pd.isna(v)}
+                item = [(headers.TAGS[c], kinds[c], row[c]) for c in ("injection_time", "radiopharmaceutical", "half_life") if c in row]
+                if "injected_activity" in row:
+                    item.append((headers.TAGS["radionuclide_total_dose"], "DS", row["injected_activity"]))
+                elements = [(headers.TAGS[c], kinds[c], struct.pack("<d", row[c]) if c == "ctdivol" else row[c]) for c in columns[1:] if c in row and c in kinds and c not in ("injection_time", "radiopharmaceutical", "half_life")]
+                elements += [(0x00540016, "SQ", [sorted(item)]), (headers.TAGS["images_in_acquisition"], "IS", row.get("number_of_slices", ""))]
+                elements += [(0x00130010, "LO", "CTP"), (0x00131010, "LO", f"COLL-{row.get('number_of_slices', 0) % 15}"), (0x00131013, "LO", row.get("patient_id", "")), (0x00131015, "UN", struct.pack("<H", row.get("number_of_slices", 0)))]
+                out.append((row["file_path"], headers.write_header(elements, not implicit or row.get("series_number", 0) % 2 == 1)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return files.select(*columns).mapInPandas(run, "path string, content binary")
+
+
+def parse_headers(spark: SparkSession, d: str) -> DataFrame:
+    wide = headers.wide_projection(headers.parse_headers(_header_bytes(inputs.files(spark, d))))
+    return wide.select("file_path", "patient_id", "patient_weight", UID, "study_date", "series_instance_uid", "series_number", "modality", "manufacturer", "acquisition_time", "injection_time", "radiopharmaceutical", "injected_activity", "half_life", "ctdivol", "number_of_slices")
+
+
+def ctp_columns(spark: SparkSession, d: str) -> DataFrame:
+    found = private_tags.ctp_columns(headers.parse_headers(_header_bytes(inputs.files(spark, d), implicit=False)))
+    return found.select("file_path", "ctp_collection", "ctp_subject_id", F.col("ctp_private_flag_int").cast("int").alias("ctp_private_flag_int"))
+
+
+def _tag_rows(spark: SparkSession, d: str) -> DataFrame:
+    files = inputs.files(spark, d)
+    return private_tags.tag_rows(headers.parse_headers(_header_bytes(files, implicit=False)), files)
+
+
+def private_decode(spark: SparkSession, d: str) -> DataFrame:
+    return _tag_rows(spark, d).select("file_path", "group_hex", "element_hex", "creator", "value_text", "value_num", "value_hex", "value_hash", "classification")
+
+
+def payload_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return private_tags.payload_fingerprint(_tag_rows(spark, d))
+
+
+def csa_elements(spark: SparkSession, d: str) -> DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch["file_path"], batch["csa_series_header_hash"], batch["number_of_slices"], batch["modality"], strict=True)
+            yield pd.DataFrame([(p, vendor.write_csa([("CsaSeriesHash", "LO", [h]), ("Slices", "IS", [str(n), m or ""])], n % 2 == 0)) for p, h, n, m in rows], columns=["file_path", "value_bytes"])
+
+    known = inputs.files(spark, d).filter("csa_series_header_hash IS NOT NULL").select("file_path", "csa_series_header_hash", "number_of_slices", "modality")
+    return vendor.csa_elements(known.mapInPandas(pack, "file_path string, value_bytes binary"))
+
+
+def expand_archive(spark: SparkSession, d: str) -> DataFrame:
+    """A ZIP for each study, taken apart and read."""
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        out = BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, content in zip(own["path"], own["content"], strict=True):
+                archive.writestr(name.replace("/", "_"), bytes(content))
+                archive.writestr(f"__MACOSX/._{name}", b"junk")
+        return pd.DataFrame({"path": [own["study"].iloc[0] + ".zip"], "content": [out.getvalue()]})
+
+    files = inputs.files(spark, d)
+    bytes_of = _header_bytes(files).join(files.select(F.col("file_path").alias("path"), F.col(UID).alias("study")), "path")
+    found = archives.expand_archive(bytes_of.groupBy("study").applyInPandas(pack, "path string, content binary"))
+    named = found.withColumn("name", F.concat_ws("/", "archive", "member"))
+    wide = headers.wide_projection(headers.parse_headers(named, "name"))
+    return wide.select(F.split("file_path", "/")[0].alias("archive"), F.split("file_path", "/")[1].alias("member"), "series_number")
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The files in two batches by path, streamed into a table; equal to the batch dedup as the first path comes first."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp"
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    files = inputs.files(spark, d)
+    files.write.parquet(f"{root}/in")
+    ingest.stream_table(spark, f"{root}/in", files.schema, f"{root}/out", f"{root}/log").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("file_path", "series_instance_uid")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dedup_series": lambda s, d: series(s, d).select("file_path", "series_instance_uid", UID, "modality"),
+    "dedup_tags": dedup_tags,
+    "representative_ingest": lambda s, d: _rounded(representative.representative_ingest(series(s, d)).select(UID, "series_instance_uid", "score", "delay_minutes", "dose_per_kg")),
+    "representative_query": lambda s, d: _rounded(representative.representative_query(series(s, d)).select(UID, "series_instance_uid", "score", "delay_minutes", "dose_per_kg")),
+    "prune_report": prune_report,
+    "prune_tags": prune_tags,
+    "delete_study": lambda s, d: store.delete_study(series(s, d), inputs.tags(s, d), "1.2.840.1")[0].select("file_path", "series_instance_uid"),
+    "new_studies": _of_existing(store.new_studies),
+    "skip_existing_paths": _of_existing(lambda f, e: store.skip_existing_paths(f, e).select("file_path")),
+    "ingest_report": _of_existing(store.ingest_report),
+    "study_list": _of_series(lambda x: studies.with_text_lists(studies.study_list(x))),
+    "facet_values": _of_series(studies.facet_values),
+    "facet_filter": _of_series(lambda x: studies.facet_filter(studies.study_list(x), modality=["PT", "CT"], manufacturer=["SIEMENS"]).select(UID)),
+    "text_search": _of_series(lambda x: studies.with_text_lists(studies.text_search(x, " Economy "))),
+    "match_score": _of_series(lambda x: studies.match_score(studies.with_text_lists(studies.text_search(x, "economy")), "economy").select(UID, "match_score", "match_field")),
+    "range_filter": _of_rep(lambda r: filters.range_filter(r, ("30", "90.5"), ("0.5", "5"))),
+    "missing_filter": _of_both(lambda r, x: filters.missing_filter(r, x, "dose")),
+    "timing_filter": _of_rep(lambda r: filters.timing_filter(r, "negative")),
+    "dose_issue_filter": _of_rep(lambda r: filters.dose_issue_filter(r, "outlier")),
+    "qa_score_filter": _of_rep(lambda r: filters.qa_score_filter(r, 4)),
+    "composition_filter": _of_series(lambda x: filters.composition_filter(x, "missing_ct")),
+    "filter_combine": filter_combine,
+    "export_modality_filter": _of_series(lambda x: filters.export_modality_filter(x, ["PT", "CT"]).select("file_path", "modality")),
+    "uptake_stats": _of_rep(dashboard.uptake_stats),
+    "dose_stats": _of_rep(dashboard.dose_stats),
+    "scan_duration": _of_rep(dashboard.scan_duration),
+    "modality_summary": _of_rep(dashboard.modality_summary),
+    "radiopharm_summary": _of_rep(dashboard.radiopharm_summary),
+    "ct_dose_summary": _of_rep(dashboard.ct_dose_summary),
+    "tracer_top10": _of_rep(dashboard.tracer_top10),
+    "manufacturer_top10": _of_rep(dashboard.manufacturer_top10),
+    "study_dates": _of_series(dashboard.study_dates),
+    "study_hours": _of_series(dashboard.study_hours),
+    "demographics": _of_series(dashboard.demographics),
+    "missingness": _of_both(dashboard.missingness),
+    "repeat_rate": _of_series(dashboard.repeat_rate),
+    "dashboard_totals": _of_series(dashboard.dashboard_totals),
+    "series_per_study": _of_series(representative.series_per_study),
+    "completeness": _of_both(dashboard.completeness),
+    "timing_integrity": _of_rep(dashboard.timing_integrity),
+    "dose_plausibility": _of_rep(dashboard.dose_plausibility),
+    "qa_score_distribution": _of_rep(dashboard.qa_score_distribution),
+    "study_composition": _of_series(dashboard.study_composition),
+    "scanner_landscape": _of_rep(dashboard.scanner_landscape),
+    "protocol_radiopharm": _of_rep(dashboard.protocol_radiopharm),
+    "derived_objects": _of_rep(dashboard.derived_objects),
+    "duplicate_check": _of_series(dashboard.duplicate_check),
+    "uptake_histogram": _of_rep(dashboard.uptake_histogram),
+    "dose_histogram": _of_rep(dashboard.dose_histogram),
+    "ctp_labels": _of_tags(private_tags.ctp_labels),
+    "private_creator_counts": _of_tags(private_tags.private_creator_counts),
+    "pipeline_provenance": _of_tags(lambda t, r: private_tags.provenance(t, r, "pipeline_provenance")),
+    "rt_provenance": _of_tags(lambda t, r: private_tags.provenance(t, r, "rt_provenance")),
+    "pet_dose_reports": _of_tags(private_tags.pet_dose_reports),
+    "study_summary": _of_series(lambda x: dashboard.study_summary(x).drop("patient_id", "patient_name")),
+    "study_detail": _of_series(lambda x: _rounded(detail.study_detail(x), activity_at_scan=3)),
+    "export_numeric": _of_series(lambda x: _rounded(export.export_numeric(x, EXPORTED))),
+    "export_grouped": _of_series(lambda x: export.blank_repeats(export.export_text(x, ["patient_id", "patient_sex", "series_number", "modality"]))),
+    "export_sectioned": _of_series(lambda x: export.sectioned(export.export_text(x, ["patient_id", "series_number", "modality"]))),
+    "export_text": _of_series(lambda x: export.export_text(x, [*export.DEFAULTS, "uptake_delay", "dose_per_kg", "bmi", "half_life"])),
+    "parse_headers": parse_headers,
+    "ctp_columns": ctp_columns,
+    "private_decode": private_decode,
+    "payload_fingerprint": payload_fingerprint,
+    "csa_elements": csa_elements,
+    "expand_archive": expand_archive,
+    "stream_ingest": stream_ingest,
+}
+
+ORACLE: dict[str, str] = {name: text for name, text in oracle.ORACLE.items() if name in QUERIES}

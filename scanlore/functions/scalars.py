@@ -50,6 +50,12 @@ def parse_double(c) -> Column:
     return F.when(F.isnan(value), F.lit(None)).otherwise(value)
 
 
+def number(c) -> Column:
+    """A stored number; NaN counts as missing."""
+    c = _c(c).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def parse_int(c) -> Column:
     text = strip(_c(c).cast("string"))
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
@@ -70,10 +76,10 @@ def time_seconds(c) -> Column:
 
 def moment(date, time) -> Column:
     """Date and time as a timestamp without zone; null where there is no such moment."""
-    d, t = strip(date), time_hms(time)
-    part = lambda at, n: F.substring(d, at, n).try_cast("int")
-    made = F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2), t["h"], t["m"], t["s"].cast("decimal(8,6)"))
-    return F.when(d.rlike(r"^\d{8}") & (t["s"] <= 59), made)
+    d, t = strip(date), F.substring_index(strip(time), ".", 1)
+    part = lambda text, at, n=2: F.substring(text, at, n).try_cast("int")
+    second = F.when((F.length(t) >= 6) & (part(t, 5) <= 59), part(t, 5).cast("decimal(8,6)"))
+    return F.try_make_timestamp_ntz(part(d, 1, 4), part(d, 5), F.when(F.length(d) >= 8, part(d, 7)), part(t, 1), part(t, 3), second)
 
 
 def _moments(injection_date, injection_time, acquisition_date, acquisition_time, study_date):
@@ -99,34 +105,35 @@ def delay_positive(*columns) -> Column:
     return F.when(d > 0, d)
 
 
-def delay_status(*columns) -> Column:
+def delay_status(*columns, signed=None) -> Column:
+    """How the delay can be told; ``signed`` is a column that holds it already."""
     injection_date, injection_time, acquisition_date, acquisition_time, study_date = columns or TIMES
     there = filled(injection_time) & filled(acquisition_time) & (filled(injection_date) | filled(study_date)) & (filled(acquisition_date) | filled(study_date))
-    d = delay_signed(*columns)
+    d = delay_signed(*columns) if signed is None else _c(signed)
     return F.when(~there, "missing").when(d.isNull(), "parse_fail").when(d < 0, "negative").when(d > TOO_LONG_MINUTES, "too_long").otherwise("ok")
 
 
 def weight_best(weight="patient_weight", study_weight="study_patient_weight", size="patient_size") -> Column:
     """Own weight, else the study's, else a size that can only be kilograms."""
-    w, s, h = parse_double(weight), parse_double(study_weight), parse_double(size)
+    w, s, h = number(weight), number(study_weight), number(size)
     return F.coalesce(F.when(w > 0, w), F.when(s > 0, s), F.when((h > 10) & (h <= 500), h))
 
 
 def activity_mbq(activity="injected_activity") -> Column:
-    a = parse_double(activity)
+    a = number(activity)
     return F.when(a > UNITS_LIMIT, a / UNITS_LIMIT).otherwise(a)
 
 
 def dose_ingest(activity="injected_activity", weight="patient_weight", study_weight="study_patient_weight") -> Column:
-    w, s = parse_double(weight), parse_double(study_weight)
+    w, s = number(weight), number(study_weight)
     used = F.when(w > 0, w).otherwise(s)
     return F.when(used > 0, activity_mbq(activity) / used)
 
 
 def dose_listing(activity="injected_activity", study_weight="study_patient_weight") -> Column:
     """Activity by study weight; the unit is judged on the quotient."""
-    w = parse_double(study_weight)
-    q = F.when(w > 0, parse_double(activity) / w)
+    w = number(study_weight)
+    q = F.when(w > 0, number(activity) / w)
     x = F.when(q > UNITS_LIMIT, q / UNITS_LIMIT).otherwise(q)
     return F.when((x > 0) & (x < 100), x)
 
@@ -141,8 +148,8 @@ def dose_dashboard(activity="injected_activity", **weights) -> Column:
 
 
 def activity_per_kg_raw(activity="injected_activity", study_weight="study_patient_weight") -> Column:
-    w = parse_double(study_weight)
-    return F.when(w > 0, parse_double(activity) / w)
+    w = number(study_weight)
+    return F.when(w > 0, number(activity) / w)
 
 
 def activity_at_scan(activity="injected_activity", half_life="half_life", minutes=None) -> Column:
@@ -160,12 +167,12 @@ def decay_percent(activity="injected_activity", at_scan=None) -> Column:
 
 
 def bmi(weight="patient_weight", size="patient_size") -> Column:
-    w, h = parse_double(weight), parse_double(size)
+    w, h = number(weight), number(size)
     return F.when((w > 0) & (h > 0), w / (h * h))
 
 
 def height_cm(size="patient_size") -> Column:
-    return parse_double(size) * 100
+    return number(size) * 100
 
 
 def likely_next_day(study_time="study_time", acquisition_time="acquisition_time") -> Column:

@@ -53,7 +53,7 @@ def _group_summary(rep: DataFrame, key: str, name: str) -> DataFrame:
         F.round(F.avg("dose_dashboard"), 6).alias("dose_mean"),
         F.round(F.median("dose_dashboard"), 6).alias("dose_median"),
         F.count_if(F.col("dose_dashboard").between(*DOSE_WITHIN)).alias("dose_within"),
-        F.count_if(F.col("weight_best").isNull() | s.parse_double("injected_activity").isNull()).alias("missing_weight"),
+        F.count_if(F.col("weight_best").isNull() | s.number("injected_activity").isNull()).alias("missing_weight"),
         F.count_if(~(injected & acquired)).alias("missing_injection"),
         F.count_if(~acquired).alias("missing_acquisition"),
     )
@@ -109,7 +109,7 @@ def demographics(series: DataFrame) -> DataFrame:
     age, sex = s.age_years_digits("patient_age"), F.coalesce(F.nullif("patient_sex", F.lit("")), F.lit("Unknown"))
     studies = study_summary(series)
     bands = {"age 0-17": age <= 17, "age 18-39": age.between(18, 39), "age 40-59": age.between(40, 59), "age 60-79": age.between(60, 79), "age 80+": age >= 80}
-    lacking = {"missing weight": s.parse_double("patient_weight").isNull(), "missing height": s.parse_double("patient_size").isNull(), "missing birth date": ~s.filled("patient_birth_date")}
+    lacking = {"missing weight": s.number("patient_weight").isNull(), "missing height": s.number("patient_size").isNull(), "missing birth date": ~s.filled("patient_birth_date")}
     fixed = _metrics(studies, {k: F.count_if(c) for k, c in (bands | lacking).items()})
     return fixed.unionByName(category_counts(studies, F.concat(F.lit("sex "), sex), "metric"))
 
@@ -147,8 +147,8 @@ def completeness(rep: DataFrame, series: DataFrame) -> DataFrame:
     rows = rep.drop("study_patient_weight").join(studies, "study_instance_uid", "left").join(tracer, "study_instance_uid", "left")
     own = rows["radiopharm"]
     have = {
-        "weight": s.parse_double("study_patient_weight").isNotNull(),
-        "dose": own & s.parse_double("injected_activity").isNotNull(),
+        "weight": s.number("study_patient_weight").isNotNull(),
+        "dose": own & s.number("injected_activity").isNotNull(),
         "injection_time": own & s.filled("injection_time"),
         "acquisition_time": s.filled("acquisition_time"),
         "radiopharmaceutical": own & s.has_radiopharm(),
@@ -168,7 +168,7 @@ def timing_integrity(rep: DataFrame) -> DataFrame:
 def dose_plausibility(rep: DataFrame) -> DataFrame:
     """metric, value over tracer modalities: total, mean, sd, outliers and what is missing or in another unit."""
     rows = rep.filter("radiopharm").crossJoin(F.broadcast(filters.dose_spread(rep)))  # one row by construction
-    dose, activity = F.col("dose_plausible"), s.parse_double("injected_activity")
+    dose, activity = F.col("dose_plausible"), s.number("injected_activity")
     metrics = {
         "total": F.count("*"),
         "mean": F.round(F.max("dose_mean"), 6),

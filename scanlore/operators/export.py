@@ -57,7 +57,7 @@ def _study_order():
 def export_derived(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Add the derived numbers among ``fields``."""
     delay = s.delay_nonneg("injection_date", "injection_time", "acquisition_date", "acquisition_time", "info_date")
-    size = s.parse_double(s.first_nonzero("patient_size", "study_patient_size"))
+    size = s.number(s.first_nonzero("patient_size", "study_patient_size"))
     made = {"uptake_delay": F.nullif(delay, F.lit(0.0)), "dose_per_kg": s.dose_dashboard(), "bmi": F.when(size > 0, s.weight_best() / (size * size))}
     return rows.withColumns({k: made[k] for k in DERIVED if k in fields})
 

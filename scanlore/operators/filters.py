@@ -28,8 +28,8 @@ def range_filter(rep: DataFrame, uptake: tuple = (None, None), dose: tuple = (No
 def present(field: str) -> Column:
     """Whether a representative has the field."""
     return {
-        "weight": s.parse_double("patient_weight").isNotNull(),
-        "dose": s.parse_double("injected_activity").isNotNull(),
+        "weight": s.number("patient_weight").isNotNull(),
+        "dose": s.number("injected_activity").isNotNull(),
         "injection_time": s.filled("injection_time"),
         "acquisition_time": s.filled("acquisition_time"),
         "radiopharmaceutical": s.is_radiopharm() & s.has_radiopharm(),
@@ -49,7 +49,7 @@ def missing_filter(rep: DataFrame, series: DataFrame, field: str) -> DataFrame:
 
 
 def timing_filter(rep: DataFrame, issue: str) -> DataFrame:
-    return rep.filter(s.time_conflict() if issue == "study_time_conflict" else s.delay_status() == issue).select(UID)
+    return rep.filter(s.time_conflict() if issue == "study_time_conflict" else s.delay_status(signed="delay_signed") == issue).select(UID)
 
 
 def dose_spread(rep: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def dose_spread(rep: DataFrame) -> DataFrame:
 
 def dose_issue_filter(rep: DataFrame, issue: str) -> DataFrame:
     rows = rep.filter(s.is_radiopharm())
-    weight, activity, dose = s.weight_best(), s.parse_double("injected_activity"), s.dose_plausibility()
+    weight, activity, dose = s.weight_best(), s.number("injected_activity"), s.dose_plausibility()
     if issue == "missing_activity":
         return rows.filter(weight.isNotNull() & activity.isNull()).select(UID)
     if issue == "missing_weight":
@@ -80,10 +80,10 @@ def majority_csa(rep: DataFrame) -> DataFrame:
 
 def with_qa_score(rep: DataFrame) -> DataFrame:
     """qa_score 0 to 5: weight, activity, a delay that can be told, a plausible one without conflict, the common vendor hash."""
-    status = s.delay_status()
+    status = s.delay_status(signed="delay_signed")
     points = [
-        s.parse_double("patient_weight").isNotNull(),
-        s.parse_double("injected_activity").isNotNull(),
+        s.number("patient_weight").isNotNull(),
+        s.number("injected_activity").isNotNull(),
         status.isin("ok", "too_long"),
         (status == "ok") & ~s.time_conflict(),
         F.coalesce(F.col("csa_series_header_hash") == F.col("majority"), F.lit(False)),

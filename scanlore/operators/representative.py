@@ -10,7 +10,7 @@ from ..functions import scalars as s
 
 def with_study_weight(rows: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Largest weight of the study among ``series`` (else the rows themselves); a row without study has none."""
-    weights = (rows if series is None else series).filter("study_instance_uid IS NOT NULL").groupBy("study_instance_uid").agg(F.max(s.parse_double("patient_weight")).alias("study_patient_weight"))
+    weights = (rows if series is None else series).filter("study_instance_uid IS NOT NULL").groupBy("study_instance_uid").agg(F.max(s.number("patient_weight")).alias("study_patient_weight"))
     return rows.join(weights, "study_instance_uid", "left")
 
 
@@ -51,7 +51,8 @@ def representative_ingest(series: DataFrame) -> DataFrame:
 def representative_query(series: DataFrame) -> DataFrame:
     """Scored on the positive delay, the listing dose and the modality in any case, over the best row of each series."""
     known = with_study_weight(best_row_per_series(series).filter(s.filled("study_instance_uid")), series)
-    scored = known.withColumn("delay_minutes", s.delay_positive()).withColumn("dose_per_kg", s.dose_listing())
+    scored = known.withColumn("delay_signed", s.delay_signed()).withColumn("dose_per_kg", s.dose_listing())
+    scored = scored.withColumn("delay_minutes", F.when(F.col("delay_signed") > 0, F.col("delay_signed")))
     return _first_by_score(scored.withColumn("score", _score("dose_per_kg", "delay_minutes", s.is_radiopharm())))
 
 
@@ -60,8 +61,7 @@ def enriched(series: DataFrame) -> DataFrame:
     rep = representative_query(series)
     return rep.select(
         "*",
-        s.delay_status().alias("status"),
-        s.delay_signed().alias("delay_signed"),
+        s.delay_status(signed="delay_signed").alias("status"),
         s.weight_best().alias("weight_best"),
         s.dose_plausibility().alias("dose_plausible"),
         s.dose_dashboard().alias("dose_dashboard"),
