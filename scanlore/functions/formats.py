@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scalars import UNITS_LIMIT, _c, filled, parse_double, strip
 
@@ -33,7 +34,7 @@ NUMERIC_FORMATS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _exact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for values, places in batches:
         yield pd.Series([None if pd.isna(v) else f"{v:.{int(p)}f}" for v, p in zip(values, places, strict=True)], dtype=object)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as s
 from .representative import best_series_per_study_modality
@@ -61,7 +62,7 @@ def text_search(series: DataFrame, term: str) -> DataFrame:
     return group_studies(best_series_per_study_modality(series).filter(text_match(term)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two texts that do not contain each other."""
     from difflib import SequenceMatcher
