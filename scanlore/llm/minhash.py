@@ -14,12 +14,15 @@ it. Two signatures agree in a place with the weighted Jaccard similarity as the
 probability. Bands of places make buckets.
 
 Candidates are verified on the multisets themselves. Texts with the same
-multiset are one row from there on. In each of a few rounds every text is
-compared with one pivot of each of its buckets, other pivots each time; that
-joins large groups without making their pairs. Then all pairs that share a
-bucket, lie in different classes and have not been looked at are verified,
-again and again until there are none. So a group makes pairs only as far as
-its texts differ, and no candidate that could join two classes is left out.
+multiset are one row from there on. First every text is compared with one pivot
+of each of its buckets. In buckets that still hold several classes, shingles
+that no other text there has are counted: what two texts have in common is no
+more than either shares with anyone, so most texts and pairs there are ruled
+out without a look, and none that could be near. The texts that have least of
+their own serve as pivots next; then all pairs that share a bucket, lie in
+different classes, are not ruled out and have not been looked at are verified,
+again and again until there are none. No candidate that could join two classes
+is left out, and groups of near texts are joined without making their pairs.
 
 Null texts and texts without words have no shingles and are classes of their
 own row. Repeated rows are alike and share a class; a null id is a row like
@@ -45,8 +48,6 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
-#: Rounds of pivots before the pairs that are left.
-TURNS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,13 +192,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _pivots(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with the first of its bucket, in an order of this turn."""
-    order = F.xxhash64("row", F.lit(turn))
-    first = members.groupBy("band", "bucket").agg(F.min(order).alias("order"))
-    pivots = members.withColumn("order", order).join(first, ["band", "bucket", "order"]).select("band", "bucket", F.col("row").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    pairs = members.join(pivots, ["band", "bucket"]).filter(F.col("row") != F.col("pivot"))
-    return pairs.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"), F.least("n_shingles", "pivot_n").alias("m"), F.greatest("n_shingles", "pivot_n").alias("n"))
+def _pivots(members: DataFrame, order) -> DataFrame:
+    """Pairs of each member with the first of its bucket in the given order."""
+    ordered = members.withColumn("order", order)
+    first = ordered.groupBy("band", "bucket").agg(F.min("order").alias("order"))
+    pivots = ordered.join(first, ["band", "bucket", "order"]).select("band", "bucket", *(F.col(c).alias(f"pivot_{c}") for c in members.columns if c not in ("band", "bucket")))
+    return members.join(pivots, ["band", "bucket"]).filter(F.col("row") != F.col("pivot_row"))
+
+
+def _unique_shingles(texts: DataFrame) -> DataFrame:
+    """row, lone: how many of a text's shingles no other of the texts has. One pass with partial sums; nothing is joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0), batch.column(1), strict=True):
+                items, counts = shingles(text.as_py())
+                for at in range(0, len(items), 1 << 18):
+                    part = slice(at, at + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items[part]), row.as_py()), pa.int64()), pa.array(items[part].view(np.int64)), pa.array(counts[part], pa.int64())], names=["row", "item", "n"])
+
+    every = texts.select("row", "utf8").mapInArrow(run, "row long, item long, n long")
+    once = every.groupBy("item").agg(F.count("*").alias("texts"), F.min("row").alias("row"), F.min("n").alias("n")).filter("texts = 1")
+    return once.groupBy("row").agg(F.sum("n").alias("lone"))
+
+
+def _may_be_near(m, n, lone_m, lone_n):
+    """Whether the similarity can be reached: what is common is no more than what either shares with any text."""
+    common = F.least(m - lone_m, n - lone_n)
+    return common * (1 + SIMILARITY) >= SIMILARITY * (m + n) - 1e-6
 
 
 def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
@@ -222,35 +244,43 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = sources.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("utf8") == F.col("__hash")))
     texts = save(found.groupBy("row").agg(F.first("utf8").alias("utf8")), "texts")
 
-    looked = near = root = None
+    def named(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    # first with one pivot of each bucket, whatever it is
+    near_size = F.least("n_shingles", "pivot_n_shingles") >= SIMILARITY * F.greatest("n_shingles", "pivot_n_shingles")
+    looked = save(named(_pivots(members, F.xxhash64("row")).filter(near_size), "row", "pivot_row"), "pairs")
+    near = save(_verify(looked, texts), "near")
+    root = components(near)
+
+    # then among buckets that hold several classes, with pivots that have least of their own
+    mixed = _mixed(members, root)
+    rest = save(mixed.select("row").distinct(), "rest")
+    lone = save(_unique_shingles(texts.join(small(rest, rest.count()), "row")), "lone")
     turn = 0
     while True:
         turn += 1
-        if turn <= TURNS:
-            mixed = members if root is None else _mixed(members, root)
-            pairs = _pivots(mixed, turn)
-            if root is not None:
-                pairs = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                pairs = pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        open_ = mixed.join(lone, "row", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        open_ = open_.filter(F.col("n_shingles") - F.col("lone") >= SIMILARITY * F.col("n_shingles") - 1e-6)
+        if turn == 1:
+            order = (F.col("lone") * 4096 / F.col("n_shingles")).cast("long") * (1 << 48) + F.pmod(F.xxhash64("row"), F.lit(1 << 48))
+            pairs = _pivots(open_, order).filter((F.col("root") != F.col("pivot_root")) & _may_be_near(F.col("n_shingles"), F.col("pivot_n_shingles"), F.col("lone"), F.col("pivot_lone")))
+            pairs = named(pairs, "row", "pivot_row")
         else:
-            mixed = _mixed(members, root)
-            ours = mixed.select("band", "bucket", F.col("row").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("p"))
-            theirs = mixed.select("band", "bucket", F.col("row").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("q"))
-            pairs = ours.join(theirs, ["band", "bucket"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("p", "q") >= SIMILARITY * F.greatest("p", "q")))
-            pairs = pairs.select("a", "b", F.least("p", "q").alias("m"), F.greatest("p", "q").alias("n"))
-        # numbers of shingles too different to reach the similarity
-        pairs = pairs.filter(F.col("m") >= SIMILARITY * F.col("n")).select("a", "b").distinct()
-        pairs = save(pairs if looked is None else pairs.join(looked, ["a", "b"], "left_anti"), "pairs")
+            ours, theirs = (open_.select("band", "bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "root", "n_shingles", "lone"))) for x in "ab")
+            pairs = ours.join(theirs, ["band", "bucket"]).filter((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & _may_be_near(F.col("n_shingles_a"), F.col("n_shingles_b"), F.col("lone_a"), F.col("lone_b")))
+            pairs = named(pairs, "row_a", "row_b")
+        pairs = save(pairs.join(looked, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if turn <= TURNS and root is not None:
-                continue
-            if root is not None:
+            if turn > 1:
                 break
-        looked = pairs if looked is None else looked.unionByName(pairs)
+            continue
+        looked = looked.unionByName(pairs)
         new = save(_verify(pairs, texts), "near")
-        near = new if near is None else near.unionByName(new)
-        if root is None or not new.isEmpty():
+        if not new.isEmpty():
+            near = near.unionByName(new)
             root = components(near)
+            mixed = _mixed(members, root)
 
     roots = rows.select("row", "print", "least", "copies").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
