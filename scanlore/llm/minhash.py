@@ -15,14 +15,14 @@ probability. Bands of places make buckets.
 
 Candidates are verified on the multisets themselves. Texts with the same
 multiset are one row from there on. First every text is compared with one pivot
-of each of its buckets. In buckets that still hold several classes, shingles
-that no other text there has are counted: what two texts have in common is no
-more than either shares with anyone, so most texts and pairs there are ruled
-out without a look, and none that could be near. The texts that have least of
-their own serve as pivots next; then all pairs that share a bucket, lie in
-different classes, are not ruled out and have not been looked at are verified,
-again and again until there are none. No candidate that could join two classes
-is left out, and groups of near texts are joined without making their pairs.
+of each of its buckets; in buckets that still hold several classes, with the
+text there whose shingles are most common, which joins large groups without
+making their pairs. The texts of such buckets are then compared exactly: with
+shingles ordered from rare to common, two near texts have one in common early
+in both, and a pair is verified if it lies in different classes and shares such
+a shingle, again and again until there is none that has not been looked at. In
+each shingle the largest class is not compared with itself. No candidate that
+could join two classes is left out.
 
 Null texts and texts without words have no shingles and are classes of their
 own row. Repeated rows are alike and share a class; a null id is a row like
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -174,24 +174,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the least node of each connected group, by sending least labels along links and jumping.
 
     Each round groups by node, with partial sums before the shuffle, and ends
-    when no label changes.
+    when no label changes. Labels are broadcast only where the nodes were
+    counted and are within the bound; else they are shuffled.
     """
     links = save(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct(), "links")
     labels = save(links.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "labels")
+    nodes = labels.count()
     while True:
-        near = links.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
+        near = links.join(small(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), nodes), "other")
         heard = near.groupBy("node").agg(F.min("seen").alias("seen"))
-        told = labels.join(heard, "node").select("node", "root", F.least("root", "seen").alias("low"))
+        told = save(heard.join(small(labels, nodes), "node").select("node", "root", F.least("root", "seen").alias("low")), "told")
         # what a node hears holds for its root as well
         roots = told.groupBy("root").agg(F.min("low").alias("hooked"))
-        hooked = told.join(roots, "root").select("node", F.col("root").alias("old"), F.least("low", "hooked").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("next"))
+        hooked = told.join(small(roots, nodes), "root").select("node", F.col("root").alias("old"), F.least("low", "hooked").alias("mid"))
+        jump = small(labels.select(F.col("node").alias("mid"), F.col("root").alias("next")), nodes)
         moved = save(hooked.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("next", "mid")).alias("root")), "labels")
         labels = moved.select("node", "root")
         if moved.filter("old != root").isEmpty():
             return labels
 
 
+def _joined(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """``root`` after more edges (a, b): only the groups that they touch are gone through again."""
+    ends = edges.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    moved = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved_ = small(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), moved.count())
+    old = root.join(moved_, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return save(old.unionByName(moved.join(root.select("node"), "node", "left_anti")), "roots")
+
+
 def _pivots(members: DataFrame, order) -> DataFrame:
     """Pairs of each member with the first of its bucket in the given order."""
     ordered = members.withColumn("order", order)
@@ -200,26 +211,56 @@ def _pivots(members: DataFrame, order) -> DataFrame:
     return members.join(pivots, ["band", "bucket"]).filter(F.col("row") != F.col("pivot_row"))
 
 
-def _unique_shingles(texts: DataFrame) -> DataFrame:
-    """row, lone: how many of a text's shingles no other of the texts has. One pass with partial sums; nothing is joined back."""
+def _tokens(texts: DataFrame) -> DataFrame:
+    """row, token: every shingle of a text, the second of its kind told from the first, and so on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
                 items, counts = shingles(text.as_py())
-                for at in range(0, len(items), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items[part]), row.as_py()), pa.int64()), pa.array(items[part].view(np.int64)), pa.array(counts[part], pa.int64())], names=["row", "item", "n"])
+                ends = np.cumsum(counts)
+                nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+                tokens = mix64(np.repeat(items, counts) + nth.astype(np.uint64) * _STEP).view(np.int64)
+                for at in range(0, len(tokens), 1 << 18):
+                    part = tokens[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.as_py()), pa.int64()), pa.array(part)], names=["row", "token"])
 
-    every = texts.select("row", "utf8").mapInArrow(run, "row long, item long, n long")
-    once = every.groupBy("item").agg(F.count("*").alias("texts"), F.min("row").alias("row"), F.min("n").alias("n")).filter("texts = 1")
-    return once.groupBy("row").agg(F.sum("n").alias("lone"))
+    return texts.select("row", "utf8").mapInArrow(run, "row long, token long")
 
 
-def _may_be_near(m, n, lone_m, lone_n):
-    """Whether the similarity can be reached: what is common is no more than what either shares with any text."""
-    common = F.least(m - lone_m, n - lone_n)
-    return common * (1 + SIMILARITY) >= SIMILARITY * (m + n) - 1e-6
+def _prefixes(texts: DataFrame, sizes: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rarest tokens of each text, of which two near texts always have one in common, and how common its tokens are.
+
+    First: row, token, place (how many rarer ones the text has), as far as a
+    near text may begin there. Second: row, common (mean number of texts that
+    have its tokens).
+    """
+    tokens = save(_tokens(texts.join(small(sizes.select("row"), n_rows), "row")), "tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
+    shared = tokens.join(held, "token")
+    by_row = save(shared.groupBy("row").agg(F.count("*").alias("shared"), F.sum("texts").alias("common")).join(small(sizes, n_rows), "row"), "shares")
+    # tokens that no other text has come first
+    lone = by_row.select("row", "n_shingles", (F.col("n_shingles") - F.col("shared")).alias("lone"))
+    open_ = lone.filter(F.col("n_shingles") - F.col("lone") >= SIMILARITY * F.col("n_shingles") - 1e-6)
+    ranked = shared.join(small(open_, n_rows), "row").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("texts", "token")))
+    placed = ranked.withColumn("place", F.col("lone") + F.col("nth") - 1).filter(F.col("n_shingles") - F.col("place") >= SIMILARITY * F.col("n_shingles") - 1e-6)
+    return save(placed.select("row", "token", "place", "n_shingles"), "prefixes"), by_row.select("row", (F.col("common") / F.col("n_shingles")).alias("common"))
+
+
+def _across(prefixes: DataFrame, roots: DataFrame, n_rows: int) -> DataFrame:
+    """Pairs of different classes that share a token where a near pair's first common one may be.
+
+    In each token the largest class is not compared with itself: only rows of
+    other classes look for partners.
+    """
+    placed = prefixes.join(small(roots, n_rows), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    classes = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
+    several = classes.groupBy("token").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("k")).filter("k > 1").select("token", "main")
+    placed = save(placed.join(several, "token"), "placed")
+    ours, theirs = (placed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("main", "row", "root", "n_shingles", "place"))) for x in "ab")
+    most = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b"))
+    fits = (1 + SIMILARITY) * most >= SIMILARITY * (F.col("n_shingles_a") + F.col("n_shingles_b")) - 1e-6
+    return ours.filter("root_a != main_a").join(theirs, "token").filter((F.col("root_a") != F.col("root_b")) & fits)
 
 
 def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
@@ -253,34 +294,24 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     near = save(_verify(looked, texts), "near")
     root = components(near)
 
-    # then among buckets that hold several classes, with pivots that have least of their own
+    # then, in buckets that hold several classes, with the text whose shingles are most common
     mixed = _mixed(members, root)
-    rest = save(mixed.select("row").distinct(), "rest")
-    lone = save(_unique_shingles(texts.join(small(rest, rest.count()), "row")), "lone")
-    turn = 0
+    rest = save(mixed.select("row", "n_shingles").distinct(), "rest")
+    n_rows = rest.count()
+    started = False
+    prefixes, common = _prefixes(texts, rest, n_rows)
+    order = -(F.col("common") * 1024).cast("long") * (1 << 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))
+    pairs = named(_pivots(mixed.join(small(common, n_rows), "row"), order).filter(near_size & (F.col("root") != F.col("pivot_root"))), "row", "pivot_row")
     while True:
-        turn += 1
-        open_ = mixed.join(lone, "row", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-        open_ = open_.filter(F.col("n_shingles") - F.col("lone") >= SIMILARITY * F.col("n_shingles") - 1e-6)
-        if turn == 1:
-            order = (F.col("lone") * 4096 / F.col("n_shingles")).cast("long") * (1 << 48) + F.pmod(F.xxhash64("row"), F.lit(1 << 48))
-            pairs = _pivots(open_, order).filter((F.col("root") != F.col("pivot_root")) & _may_be_near(F.col("n_shingles"), F.col("pivot_n_shingles"), F.col("lone"), F.col("pivot_lone")))
-            pairs = named(pairs, "row", "pivot_row")
-        else:
-            ours, theirs = (open_.select("band", "bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "root", "n_shingles", "lone"))) for x in "ab")
-            pairs = ours.join(theirs, ["band", "bucket"]).filter((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & _may_be_near(F.col("n_shingles_a"), F.col("n_shingles_b"), F.col("lone_a"), F.col("lone_b")))
-            pairs = named(pairs, "row_a", "row_b")
         pairs = save(pairs.join(looked, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn > 1:
-                break
-            continue
-        looked = looked.unionByName(pairs)
         new = save(_verify(pairs, texts), "near")
         if not new.isEmpty():
-            near = near.unionByName(new)
-            root = components(near)
-            mixed = _mixed(members, root)
+            root = _joined(root, new)
+        elif pairs.isEmpty() and started:
+            break
+        looked = looked.unionByName(pairs)
+        known = save(root.withColumnRenamed("node", "row").join(small(rest.select("row"), n_rows), "row", "left_semi"), "known")
+        pairs, started = named(_across(prefixes, known, n_rows), "row_a", "row_b"), True
 
     roots = rows.select("row", "print", "least", "copies").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
