@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, utf8
 
-#: Chunks kept by a worker with their ids.
-MEMO_CHUNKS = 300_000
+#: Chunks, and pieces, that a worker keeps with their ids; as many again that came before them are found too.
+MEMO_CHUNKS = 400_000
 MEMO_PAIRS = 1_000_000
 #: Bytes up to which the tables of many pieces are filled together.
 SHORT = 64
@@ -251,13 +251,24 @@ class Encoder:
         self.borders = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})").split
         self.chunks: dict[bytes, bytes | None] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, dict] = {"chunks": {}, "known": {}}
+
+    def _new(self, name: str, wanted: set) -> set:
+        """Those of ``wanted`` that are in no memo; the memo then has the rest. When it is full it becomes the older one."""
+        memo = getattr(self, name)
+        if len(memo) + len(wanted) > MEMO_CHUNKS:
+            self.older[name] = memo
+            memo = {}
+            setattr(self, name, memo)
+        wanted = wanted.difference(memo)
+        older = self.older[name]
+        memo.update({x: older[x] for x in wanted.intersection(older)})
+        return wanted.difference(older)
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces that are not in the memo yet; a piece that is a token itself is that token."""
-        if len(self.known) + len(pieces) > MEMO_CHUNKS:
-            self.known.clear()
         ranks, short = self.vocabulary.ranks, []
-        for piece in pieces.difference(self.known):
+        for piece in self._new("known", pieces):
             data = piece.encode()
             whole = ranks.get(data)
             if whole is not None:
@@ -277,12 +288,9 @@ class Encoder:
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text. A single space between other characters always begins a piece, so texts split there first."""
-        chunks = self.chunks
         split = [x.split(b" ") for x in texts]
-        wanted = set().union(*(x[1:] for x in split))
-        if len(chunks) + len(wanted) > MEMO_CHUNKS:
-            chunks.clear()
-        wanted.difference_update(chunks)
+        wanted = self._new("chunks", set().union(*(x[1:] for x in split)))
+        chunks = self.chunks
         fine: list[bytes] = []
         strings: list[str] = []
         for x in wanted:
