@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small
 
 
 def normalised(text: str | Column) -> Column:
@@ -55,9 +55,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups = exact_groups(docs, key, text, keep)
-    gone = save(groups.filter("NOT kept").select(F.col(key).alias("__gone"), "text_sha256").distinct(), "exact-dropped")
-    same = docs[key].eqNullSafe(gone["__gone"]) & (F.sha2(normalised(docs[text]), 256) == gone["text_sha256"])
-    return docs.join(gone, same, "left_anti")
+    gone = save(groups.filter("NOT kept").select(F.col(key).alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct(), "exact-dropped")
+    same = docs[key].eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(normalised(docs[text]), 256)) == F.col("__sha"))
+    return docs.join(small(gone, gone.count()), same, "left_anti")
 
 
 ORACLE = """
