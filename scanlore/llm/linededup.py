@@ -58,9 +58,9 @@ def boilerplate(prepared: DataFrame, ratio: float = RATIO, min_pages: int = MIN_
 
 def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """key, host, host_pages, n_lines, n_dropped, text (lines that stay, joined by newlines)."""
-    prepared = pages.select(F.col(key).alias("id"), host(F.col(url)).alias("host"), lines(F.col(html)).alias("lines"))
+    # pages are taken apart once; the lines are read twice
+    prepared = save(pages.select(F.col(key).alias("id"), host(F.col(url)).alias("host"), lines(F.col(html)).alias("lines")), "lines")
     common = save(boilerplate(prepared.select("host", "lines"), ratio, min_pages), "boilerplate")
-    # each page's lines are made into rows of (line, stays) once
     joined = prepared.join(common.withColumnRenamed("host", "at"), F.col("host") == F.col("at"))
     stays = F.filter("lines", lambda x: F.coalesce(~F.array_contains(F.col("common"), F.unhex(F.md5(x))), F.lit(True)))
     kept = joined.select("id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("common").isNull(), F.col("lines")).otherwise(stays).alias("kept"))
