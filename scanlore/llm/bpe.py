@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import Memo, utf8
 
 #: Chunks, and pieces, that a worker keeps with their ids; as many again that came before them are found too.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
 MEMO_PAIRS = 1_000_000
 #: Bytes up to which the tables of many pieces are filled together.
 SHORT = 64

@@ -27,7 +27,7 @@ from .bpe import encoder, slices
 from .common import save, scratch_path, utf8
 
 #: A file is closed when it holds so many bytes.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20
 
 
