@@ -100,6 +100,8 @@ def _pool_many(model: dict, texts: list[np.ndarray]) -> np.ndarray:
             full = [k for k in range(i, j) if len(texts[k])]
             y = _convolve(model, np.concatenate([x for k in full for x in (texts[k], pad)]))
             starts = np.cumsum([0, *(len(texts[k]) + len(pad) for k in full[:-1])])
+            for k in range(1, len(pad) + 1):  # what begins in pads sees the next text's words; zero is the least anyway
+                y[starts[1:] - k] = 0
             best[full] = np.maximum(np.maximum.reduceat(y, starts), 0)
         i = j
     return best
