@@ -45,8 +45,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str
     """A sample of labelled texts, as many of each label as the bound allows; rows held out are never in it.
 
     The bound is ``rows``: half may be of either label, so what reaches the
-    driver is at most ``rows`` times SAMPLE_BYTES. A text and its label count
-    once for each pair of rows; null labels are left out.
+    driver is at most ``rows`` times SAMPLE_BYTES. Where an id repeats, one of
+    its texts, the one with the smallest hash, counts once for each of its
+    labels; null labels are left out.
     """
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key), F.col(label).alias("__y")).distinct()
     order = F.xxhash64(F.col(key), F.lit("sample"))
@@ -54,8 +55,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str
     picked = best[0].unionByName(best[1])
     length = F.greatest(F.length(utf8(text)) - SAMPLE_BYTES, F.lit(0))
     start = (F.pmod(F.xxhash64(F.col(key), F.lit("start")), length + 1) + 1).cast("int")
-    joined = docs.select(key, text).join(F.broadcast(picked), key).select(F.xxhash64(key).alias("o"), F.substr(utf8(text), start, F.lit(SAMPLE_BYTES)).alias("t"), "__y")
-    return [(bytes(r["t"]), int(r["__y"])) for r in sorted(joined.collect(), key=lambda r: (r["o"], r["__y"], bytes(r["t"])))]
+    joined = docs.select(key, text).join(F.broadcast(picked), key).select(F.col(key).alias("__key"), "__y", F.xxhash64(utf8(text)).alias("h"), F.substr(utf8(text), start, F.lit(SAMPLE_BYTES)).alias("t"))
+    # an id may repeat in any number of rows: its texts are reduced in the tasks, before anything is collected
+    single = joined.groupBy("__key", "__y").agg(F.min(F.struct("h", "t")).alias("least")).select(F.xxhash64("__key").alias("o"), "__y", F.col("least.t").alias("t"))
+    return [(bytes(r["t"]), int(r["__y"])) for r in sorted(single.collect(), key=lambda r: (r["o"], r["__y"], bytes(r["t"])))]
 
 
 def held_out_by(divisor: int, remainder: int):
