@@ -190,7 +190,7 @@ def qa_score_distribution(rep: DataFrame) -> DataFrame:
 
 
 def study_composition(series: DataFrame) -> DataFrame:
-    return _metrics(filters.composition(series), {k: F.count_if(filters.composition_is(k, 4 if k == "high_series" else 0)) for k in ("missing_ct", "missing_pt", "high_series")})
+    return _metrics(filters.composition(series), {k: F.count_if(filters.composition_is(k)) for k in ("missing_ct", "missing_pt", "high_series")})
 
 
 def scanner_landscape(rep: DataFrame) -> DataFrame:
