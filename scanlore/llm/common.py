@@ -56,6 +56,26 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def reduced(docs: DataFrame, named: DataFrame, key: str, mark: Column) -> DataFrame:
+    """``docs`` without the rows that ``named`` (__id, __mark, __stays) says go, and with one row of each that repeats and stays.
+
+    A row is named by its id and ``mark``, a hash of its text. Of rows alike in
+    both the one with the smallest hash of all its columns stays; they are
+    reduced in each task first, so one that a third of all rows repeat leaves
+    each task once.
+    """
+    same = docs[key].eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+    gone, many = named.filter("NOT __stays"), named.filter("__stays")
+    n_gone, n_many = gone.count(), many.count()
+    if not n_many:
+        return docs.join(small(gone, n_gone), same, "left_anti")
+    single = docs.join(small(named, n_gone + n_many), same, "left_anti")
+    row = F.struct(*docs.columns)
+    copies = docs.join(small(many, n_many), same, "left_semi")
+    one = copies.groupBy(docs[key].alias("__id"), mark.alias("__mark")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    return single.unionByName(one.select("__row.*"))
+
+
 def utf8(column: str | Column) -> Column:
     """Text as bytes; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

@@ -3,8 +3,8 @@
 Texts are equal when identical after lower-casing A-Z only; null counts as
 empty, so all empty and null texts are one group. Of equal rows one id stays
 (``keep="max"`` or ``"min"``); rows that repeat an id count in ``group_size``
-and stay together. A null id never stays before another; a group with null ids
-only keeps null. Empty tables give empty results; extra columns are ignored.
+and are all marked as kept, of which ``exact_dedup`` returns one. A null id
+never stays before another; a group with null ids only keeps null. Empty tables give empty results; extra columns are ignored.
 
 Texts are shuffled once, by hash and text, after combining equal ones in each
 task, so a text that a third of all rows share leaves each task as one row. A
@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import reduced, save
 
 
 def normalised(text: str | Column) -> Column:
@@ -53,11 +53,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs, key, text, keep)
-    gone = save(groups.filter("NOT kept").select(F.col(key).alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct(), "exact-dropped")
-    same = docs[key].eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(normalised(docs[text]), 256)) == F.col("__sha"))
-    return docs.join(small(gone, gone.count()), same, "left_anti")
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    Of a group's rows under the id that stays, one does. A group of null ids
+    only keeps one row too.
+    """
+    groups = exact_groups(docs, key, text, keep).filter("group_size > 1")
+    named = groups.groupBy(F.col(key).alias("__id"), F.unhex("text_sha256").alias("__mark")).agg(F.first("kept").alias("__stays"), F.count("*").alias("n"))
+    named = save(named.filter("NOT __stays OR n > 1").drop("n"), "exact-dropped")
+    return reduced(docs, named, key, F.unhex(F.sha2(normalised(docs[text]), 256)))
 
 
 ORACLE = """

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Memo, mix64, save, small, unit, utf8
+from .common import Memo, mix64, reduced, save, small, unit, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -273,7 +273,7 @@ def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     signed = save(signatures(docs, key, text), "signatures")
     some = signed.filter("print IS NOT NULL")
-    rows = some.groupBy("print").agg(F.min(F.struct(key, "text_hash")).alias("first"), F.min(key).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    rows = some.groupBy("print").agg(F.min(F.struct(key, "text_hash")).alias("first"), F.min(F.struct(F.isnull(key).alias("none"), F.col(key).alias("id"), "text_hash")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     buckets = rows.select("row", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -314,20 +314,22 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
         pairs, started = named(_across(prefixes, known, n_rows), "row_a", "row_b"), True
 
     roots = rows.select("row", "print", "least", "copies").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = save(roots.join(sizes, "root").select("print", "class_id", "class_size"), "classes")
-    named = some.join(classes, "print").select(key, "text_hash", "class_id", "class_size", "n_shingles")
-    alone = signed.filter("print IS NULL").select(key, "text_hash", F.col(key).alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles")
+    sizes = roots.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("class_size"))
+    classes = save(roots.drop("least").join(sizes, "root").select("print", F.col("least.id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), "class_size"), "classes")
+    named = some.join(classes, "print").select(key, "text_hash", "class_id", "class_hash", "class_size", "n_shingles")
+    alone = signed.filter("print IS NULL").select(key, "text_hash", F.col(key).alias("class_id"), F.col("text_hash").alias("class_hash"), F.lit(1).cast("long").alias("class_size"), "n_shingles")
     return named.unionByName(alone).withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, class_id, class_size, n_shingles, kept."""
-    return _classes(docs, key, text).drop("text_hash")
+    return _classes(docs, key, text).drop("text_hash", "class_hash")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the least id."""
-    gone = save(_classes(docs, key, text).filter("NOT kept").select(F.col(key).alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), "near-dropped")
-    same = docs[key].eqNullSafe(F.col("__gone")) & (F.xxhash64(utf8(docs[text])) == F.col("__hash"))
-    return docs.join(small(gone, gone.count()), same, "left_anti")
+    """The rows of ``docs`` that stay: of each class one with the least id, of its texts the one with the smallest hash."""
+    classes = _classes(docs, key, text).filter("class_size > 1")
+    stays = F.col("kept") & (F.col("text_hash") == F.col("class_hash"))
+    named = classes.groupBy(F.col(key).alias("__id"), F.col("text_hash").alias("__mark")).agg(F.first(stays).alias("__stays"), F.count("*").alias("n"))
+    named = save(named.filter("NOT __stays OR n > 1").drop("n"), "near-dropped")
+    return reduced(docs, named, key, F.xxhash64(utf8(docs[text])))

@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 
 def takes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **shares) -> DataFrame:
-    """One row per row of ``docs``: id, tie, size, source_size, target, taken."""
+    """One row per row of ``docs``: id, tie, name (of the source), size, source_size, target, taken."""
     sized = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), F.coalesce(F.md5(text), F.lit("")).alias("tie"))
     sized = save(sized.withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.count("*").alias("source_rows"), F.sum("size").alias("source_size"))
@@ -79,7 +79,7 @@ def takes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rest = F.col("target") - epochs * F.col("source_size")
     once_more = (F.col("size") > 0) & (F.col("earlier") + F.col("within") + F.col("size") / 2 <= rest)
     taken = (F.col("size") * (epochs + once_more.cast("long"))).cast("long")
-    return begun.select("id", "tie", "size", "source_size", "target", taken.alias("taken"))
+    return begun.select("id", "tie", "name", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, **kwargs) -> DataFrame:
@@ -87,17 +87,40 @@ def mix(docs: DataFrame, **kwargs) -> DataFrame:
     return takes(docs, **kwargs).select(F.col("id").alias(key), "size", "source_size", "target", "taken")
 
 
-def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
+def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **kwargs) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it; texts without words once if their source is taken at all."""
-    chosen = takes(docs, key=key, text=text, **kwargs)
+    chosen = takes(docs, key=key, text=text, source=source, **kwargs)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise((F.col("target") > 0).cast("int")).cast("int")
-    # rows alike in id and text take the same places in any order, so their times are summed up and dealt out evenly
-    chosen = chosen.select("id", "tie", times.alias("__times")).groupBy("id", "tie").agg(F.sum("__times").alias("__times"), F.count("*").alias("__rows"))
-    tied = docs.withColumn("__tie", F.coalesce(F.md5(text), F.lit("")))
-    joined = tied.join(chosen, tied[key].eqNullSafe(chosen["id"]) & (tied["__tie"] == chosen["tie"]))
+    # rows alike in id, text and source take the same places in any order, so their times are summed up and dealt out
+    alike = ["id", "tie", "name"]
+    chosen = save(chosen.select(*alike, times.alias("__times")).groupBy(*alike).agg(F.sum("__times").alias("__times"), F.count("*").alias("__rows")), "mix-times")
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    tied = docs.withColumns({"__tie": F.coalesce(F.md5(text), F.lit("")), "__name": name})
+    same = tied[key].eqNullSafe(F.col("id")) & (tied["__tie"] == F.col("tie")) & (tied["__name"] == F.col("name"))
+    joined = tied.join(chosen.filter("__rows = 1"), same).withColumn("__repeats", F.col("__times"))
+    many = chosen.filter("__rows > 1")
+    if not many.isEmpty():
+        joined = joined.unionByName(_dealt(tied.join(many, same)).select(*joined.columns))
     nth = F.lit(1)
-    repeats = F.when(F.col("__rows") == 1, F.col("__times")).otherwise(F.ceil(F.col("__times") / F.col("__rows")))
-    return joined.withColumn("__copy", F.explode(F.sequence(nth, F.greatest(repeats.cast("int"), nth)))).filter(F.col("__copy") <= repeats).select(*docs.columns)
+    repeats = F.col("__repeats").cast("int")
+    return joined.withColumn("__copy", F.explode(F.sequence(nth, F.greatest(repeats, nth)))).filter(F.col("__copy") <= repeats).select(*docs.columns)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows that repeat with __repeats: __times in all, evenly; what is left over goes to the first of them.
+
+    Rows are numbered inside each task's share and the shares one after the
+    other, so that no task numbers all copies of one row.
+    """
+    spread = save(rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__lot", F.shiftright("__at", 33)), "mix-repeated")
+    alike = ["id", "tie", "name"]
+    lots = spread.groupBy(*alike, "__lot").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*alike).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(*(F.col(c).alias(f"__of_{c}") for c in alike), F.col("__lot").alias("__of_lot"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__earlier"))
+    of = F.col("id").eqNullSafe(F.col("__of_id")) & (F.col("tie") == F.col("__of_tie")) & (F.col("name") == F.col("__of_name")) & (F.col("__lot") == F.col("__of_lot"))
+    place = F.col("__earlier") + F.row_number().over(Window.partitionBy(*alike, "__lot").orderBy("__at"))
+    each = F.floor(F.col("__times") / F.col("__rows"))
+    return spread.join(lots, of).withColumn("__repeats", each + (place <= F.col("__times") - each * F.col("__rows")).cast("long"))
 
 
 ORACLE = r"""
