@@ -16,19 +16,21 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Memo, utf8
+from .common import ENTRY_BYTES, KEY_BYTES, Memo, ddl, fresh, kept_by_worker, map_batches, slices, utf8
 
-#: Chunks, and pieces, that a worker keeps with their ids; as many again that came before them are found too.
-MEMO_CHUNKS = 200_000
-MEMO_PAIRS = 1_000_000
+#: Bytes of chunks, and of pieces, that a worker keeps with their ids; as many again that came before them are found too.
+MEMO_BYTES = 24 << 20
+#: Bytes of pairs of tokens of which it is known whether they fit.
+PAIR_BYTES = 24 << 20
 #: Bytes up to which the tables of many pieces are filled together.
 SHORT = 64
 
@@ -49,7 +51,7 @@ class Vocabulary:
             self._derive(rank)
         self.longest = max(map(len, ranks), default=1)
         self.exact = {t: r for t, r in ranks.items() if self.reachable[r]}
-        self.fits = Memo(lambda key: self._fits(*divmod(key, self.size)), MEMO_PAIRS)
+        self.fits = Memo(lambda key: self._fits(*divmod(key, self.size)), PAIR_BYTES)
 
     @functools.cached_property
     def suffixes(self) -> set[bytes]:
@@ -163,12 +165,20 @@ class PieceTables:
         names = [x for x in v.exact if len(x) <= SHORT]
         hashes = np.concatenate([self._prefixes(part)[:, -1] for n in range(1, SHORT + 1) if (part := [x for x in names if len(x) == n])])
         tokens = np.array([v.exact[x] for n in range(1, SHORT + 1) for x in names if len(x) == n], np.int32)
-        order = np.argsort(hashes)
+        slots = self._slot(hashes)
+        order = np.argsort(slots, kind="stable")
         self.hashes, self.tokens = hashes[order], tokens[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[hashes >> np.uint64(44)] = True
+        # the bytes of each token by eights, to tell it from others with its hash
+        self.eights = np.frombuffer(b"".join(x[:SHORT].ljust(SHORT, b"\0") for x in v.bytes_of) or bytes(SHORT), "<u8").reshape(-1, SHORT // 8)
+        # where the hashes of each slot begin
+        self.begin = np.searchsorted(slots[order], np.arange((1 << 20) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.begin).max(initial=0))
+        self.maybe = np.diff(self.begin) > 0
         self.pair, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+
     def _prefixes(self, pieces: list[bytes]) -> np.ndarray:
         """Polynomial hashes of all prefixes; pieces are filled up with zeros to the longest."""
         width = max(map(len, pieces))
@@ -191,6 +201,17 @@ class PieceTables:
             self.pair[at[new]], self.pair_fits[at[new]] = key[new], out[new]
         return out
 
+    def _same(self, eights: np.ndarray, row: np.ndarray, begin: np.ndarray, end: int, token: np.ndarray) -> np.ndarray:
+        """Whether the bytes from ``begin`` to ``end`` are the token's."""
+        length = end - begin
+        same = self.length[token] == length
+        for k in range(0, int(length.max(initial=0)), 8):
+            some = np.flatnonzero(length > k)
+            left = np.minimum(length[some] - k, 8).astype(np.uint64) * np.uint64(8)
+            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left)
+            same[some] &= (eights[row[some], begin[some] + k] & mask) == self.eights[token[some], k // 8]
+        return same
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as int32 bytes."""
         out: list[bytes] = [b""] * len(pieces)
@@ -207,16 +228,28 @@ class PieceTables:
     def _block(self, pieces: list[bytes]) -> list[bytes]:
         sizes = np.array([len(x) for x in pieces])
         prefix = self._prefixes(pieces)
+        # the eight bytes from each place on
+        padded = np.frombuffer(b"".join(x.ljust(int(sizes[0]) + 8, b"\0") for x in pieces), np.uint8).reshape(len(pieces), -1)
+        eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8, 1)).view("<u8")[..., 0]
         last = np.full(prefix.shape, -1, np.int32)
         for end in range(1, prefix.shape[1]):
             rows = int(np.searchsorted(-sizes, -end, side="right"))
             low = max(0, end - self.v.longest)
             tails = prefix[:rows, end, None] - prefix[:rows, low:end] * self.power[end - np.arange(low, end)]
-            row, begin = np.nonzero(self.maybe[tails >> np.uint64(44)])
+            slots = self._slot(tails)
+            row, begin = np.nonzero(self.maybe[slots])
             wanted = tails[row, begin]
-            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            at = self.begin[slots[row, begin]]
             hit = self.hashes[at] == wanted
+            for k in range(1, self.deepest):
+                other = np.flatnonzero(~hit)
+                near = np.minimum(at[other] + k, len(self.hashes) - 1)
+                found = self.hashes[near] == wanted[other]
+                at[other[found]], hit[other[found]] = near[found], True
             row, begin, token = row[hit], begin[hit] + low, self.tokens[at[hit]]
+            same = self._same(eights, row, begin, end, token)
+            if not same.all():
+                row, begin, token = row[same], begin[same], token[same]
             before = last[row, begin]
             good = begin == 0
             later = np.flatnonzero(~good)
@@ -239,101 +272,153 @@ class PieceTables:
 _EXACT = ((r"(?!\S)", r"(?!\P{White_Space})"), (r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"))
 
 
+class _Kept:
+    """Ids by text, in two generations: when the newer holds MEMO_BYTES it becomes the older, which is dropped."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that are in neither; the others are in the newer one from then on."""
+        if self.held > MEMO_BYTES:
+            self.old, self.new, self.held = self.new, {}, 0
+        wanted = wanted.difference(self.new)
+        again = wanted.intersection(self.old)
+        old = self.old
+        self.new.update({x: old[x] for x in again})
+        self.held += ENTRY_BYTES * len(again)
+        return wanted.difference(again)
+
+    def add(self, texts: list, ids: list) -> None:
+        self.new.update(zip(texts, ids, strict=True))
+        self.held += sum(ENTRY_BYTES + 5 * len(x) for x in texts)
+
+    def trim(self) -> None:
+        """Long ones are known for the batch only."""
+        for x in [x for x in self.new if len(x) > KEY_BYTES]:
+            del self.new[x]
+
+
 class Encoder:
-    """Splits texts by the pattern and encodes each piece; repeated chunks come from a bounded memo."""
+    """Splits texts by the pattern and encodes each piece; repeated chunks come from a memo of bounded size."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.tables = vocabulary, PieceTables(vocabulary)
         for a, b in _EXACT:
             pattern = pattern.replace(a, b)
         self.pieces = regex.compile(pattern).findall
-        self.odd = regex.compile(r"\A\p{White_Space}|\p{White_Space}\Z").search
+        self.spaces = frozenset(regex.findall(r"\p{White_Space}", "".join(map(chr, range(0x3001)))))
         self.borders = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})").split
-        self.chunks: dict[bytes, bytes | None] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, dict] = {"chunks": {}, "known": {}}
-
-    def _new(self, name: str, wanted: set) -> set:
-        """Those of ``wanted`` that are in no memo; the memo then has the rest. When it is full it becomes the older one."""
-        memo = getattr(self, name)
-        if len(memo) + len(wanted) > MEMO_CHUNKS:
-            self.older[name] = memo
-            memo = {}
-            setattr(self, name, memo)
-        wanted = wanted.difference(memo)
-        older = self.older[name]
-        memo.update({x: older[x] for x in wanted.intersection(older)})
-        return wanted.difference(older)
+        self.chunks, self.known = _Kept(), _Kept()
+        self.flat = np.frombuffer(b"".join(vocabulary.bytes_of), np.uint8)
+        self.begins = np.cumsum([0, *map(len, vocabulary.bytes_of)])
+        digits = [f"{i} ".encode() for i in range(vocabulary.size)]
+        width = max(map(len, digits), default=1)
+        self.digits = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in digits), f"V{width}")
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces that are not in the memo yet; a piece that is a token itself is that token."""
-        ranks, short = self.vocabulary.ranks, []
-        for piece in self._new("known", pieces):
+        ranks, short, done, ids = self.vocabulary.ranks, [], [], []
+        for piece in self.known.missing(pieces):
             data = piece.encode()
             whole = ranks.get(data)
-            if whole is not None:
-                self.known[piece] = np.int32(whole).tobytes()
-            elif len(data) <= SHORT:
+            if whole is None and len(data) <= SHORT:
                 short.append((piece, data))
-            else:
-                self.known[piece] = np.array(PrefixTable(self.vocabulary, data).tokens(), np.int32).tobytes()
+                continue
+            done.append(piece)
+            ids.append(np.array(PrefixTable(self.vocabulary, data).tokens() if whole is None else whole, np.int32).tobytes())
         if short:
-            self.known.update(zip([x for x, _ in short], self.tables.encode([x for _, x in short]), strict=True))
+            done += [x for x, _ in short]
+            ids += self.tables.encode([x for _, x in short])
+        self.known.add(done, ids)
 
-    def _texts(self, texts: list[str]) -> list[bytes]:
+    def _texts(self, texts: list[str], pieces: Iterable[str]) -> list[bytes]:
+        """Ids of texts; those of ``pieces`` are in the memo as well then."""
         split = [self.pieces(x) for x in texts]
-        self._learn(set(chain.from_iterable(split)))
-        known = self.known
+        self._learn(set(chain.from_iterable(split)).union(pieces))
+        known = self.known.new
         return [b"".join([known[p] for p in x]) for x in split]
 
-    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each text. A single space between other characters always begins a piece, so texts split there first."""
+    def _parts(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """Each text's ids in parts. A single space between other characters always begins a piece, so texts split there first."""
         split = [x.split(b" ") for x in texts]
-        wanted = self._new("chunks", set().union(*(x[1:] for x in split)))
-        chunks = self.chunks
+        spaces = self.spaces
         fine: list[bytes] = []
         strings: list[str] = []
-        for x in wanted:
+        plain: dict[bytes, str] = {}
+        odd: set[bytes] = set()
+        for x in self.chunks.missing(set().union(*(x[1:] for x in split))):
             text = x.decode("utf-8", "replace")
-            if not text or self.odd(text):  # white space touches the single space
-                chunks[x] = None
+            if not text or text[0] in spaces or text[-1] in spaces:  # white space touches the single space
+                odd.add(x)
+            elif x.isalpha():  # of bytes this asks for ASCII letters: one piece with its space
+                plain[x] = " " + text
             else:
                 fine.append(x)
                 strings.append(" " + text)
-        plain, heads = [], []  # texts to be put together from chunks, and their beginnings
+        heads, whole = {}, {}  # how texts begin that are put together from chunks, and the parts of the others
         for i, (first, *rest) in enumerate(split):
             head = first.decode("utf-8", "replace")
-            if not self.odd(head) and (head or not rest):
-                plain.append(i)
-                heads.append(head)
-        found = self._texts(strings + heads)
-        chunks.update(zip(fine, found, strict=False))
-        begun = dict(zip(plain, found[len(fine) :], strict=True))
-        for i, data in enumerate(texts):
-            try:
-                ids = begun[i] + b"".join(map(chunks.__getitem__, split[i][1:]))
-            except (KeyError, TypeError):
-                first, *parts = self.borders(data.decode("utf-8", "replace"))
-                ids = b"".join(self._texts([first, *(" " + x for x in parts)]))
-            yield np.frombuffer(ids, np.int32)
+            if head and (head[0] in spaces or head[-1] in spaces) or not head and rest or odd and not odd.isdisjoint(rest):
+                first, *more = self.borders(texts[i].decode("utf-8", "replace"))
+                whole[i] = len(strings), 1 + len(more)
+                strings += [first, *(" " + x for x in more)]
+            else:
+                heads[i] = len(strings)
+                strings.append(head)
+        found = self._texts(strings, plain.values())
+        self.chunks.add(fine, found[: len(fine)])
+        self.chunks.add(list(plain), [self.known.new[p] for p in plain.values()])
+        self.known.trim()
+        get = self.chunks.new.__getitem__
+        for i in range(len(texts)):
+            if i in heads:
+                yield [found[heads[i]], *map(get, split[i][1:])]
+            else:
+                start, n = whole[i]
+                yield found[start : start + n]
+        self.chunks.trim()
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for parts in self._parts(texts):
+            yield np.frombuffer(b"".join(parts), np.int32)
+
+    def count_all(self, texts: list[bytes]) -> list[int]:
+        """Number of ids of each text."""
+        return [sum(map(len, parts)) // 4 for parts in self._parts(texts)]
 
     def encode(self, data: bytes) -> list[int]:
         return next(self.encode_all([data])).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def decode(self, ids) -> bytes:
+        """The bytes of the tokens one after the other."""
+        ids = np.asarray(ids, np.int64)
+        out = []
+        for start in range(0, len(ids), 1 << 16):
+            part = ids[start : start + (1 << 16)]
+            begin = self.begins[part]
+            length = self.begins[part + 1] - begin
+            ends = np.cumsum(length)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)].tobytes())
+        return b"".join(out)
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by one space."""
+        return self.digits[ids].tobytes().translate(None, b"\0")[:-1]
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process."""
-    return Encoder(Vocabulary.load(path), pattern)
+    return kept_by_worker(("bpe", path, pattern), lambda: Encoder(Vocabulary.load(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the column ``ids`` (array<int>) to the rows; a column of that name is replaced."""
     kept = docs.drop(ids)
-    source = kept.withColumn("__utf8", utf8(text))
+    source = kept.withColumn(fresh(docs, "utf8")[0], utf8(docs[text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -344,56 +429,40 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 found = pa.array(list(enc.encode_all([x.as_py() for x in texts[start:stop]])), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*part.schema.names[:-1], ids])
 
-    return source.mapInArrow(run, f"{ddl(kept)}{', ' if kept.columns else ''}`{ids}` array<int>")
+    return map_batches(source, run, f"{ddl(kept)}{', ' if kept.columns else ''}`{ids}` array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Add the column ``text`` (string) decoded from ``ids``; null ids give an empty text."""
+    """Add the column ``text`` (string) decoded from ``ids``; null ids give an empty text, a column of that name is replaced."""
     kept = encoded.drop(text)
     at = kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            found = pa.array([enc.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, text])
+            for start, stop in slices(batch.column(at).cast(pa.list_(pa.int32())), 2_000_000):
+                part = batch.slice(start, stop - start)
+                found = pa.array([enc.decode(x.values.to_numpy() if x.is_valid else []).decode("utf-8", "replace") for x in part.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, text])
 
-    return kept.mapInArrow(run, f"{ddl(kept)}, `{text}` string")
+    return map_batches(kept, run, f"{ddl(kept)}, `{text}` string")
 
 
 def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, decode its ids again and return counts and hashes of both."""
-    source = docs.select(key, utf8(text).alias("utf8"))
+    source = docs.select(F.col(key).alias("id"), utf8(text).alias("utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        digits = [str(i) for i in range(enc.vocabulary.size)].__getitem__
         sha = hashlib.sha256
         for batch in batches:
-            counts, encoded, decoded = [], [], []
             for start, stop in slices(batch.column(1)):
-                for found in enc.encode_all([x.as_py() for x in batch.column(1)[start:stop]]):
-                    ids = found.tolist()
+                counts, encoded, decoded = [], [], []
+                for ids in enc.encode_all([x.as_py() for x in batch.column(1)[start:stop]]):
                     counts.append(len(ids))
-                    encoded.append(sha(" ".join(map(digits, ids)).encode()).hexdigest())
+                    encoded.append(sha(enc.decimal(ids)).hexdigest())
                     decoded.append(sha(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in df.dtypes)
-
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text, one row at least."""
-    start, held = 0, 0
-    for i, x in enumerate(texts):
-        size = len(x.as_buffer())
-        if held and held + size > most:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if len(texts):
-        yield start, len(texts)
+    out = map_batches(source, run, f"id {source.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("id", key)

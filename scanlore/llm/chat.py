@@ -2,10 +2,17 @@
 
 A conversation's turns are rendered by a template and counted in tokens. Prefix
 sums of the counts choose spans of whole turns that fit the budget together
-with the system turn, which every window keeps, and with the last few turns
-before the span, which are repeated as history. The loss covers assistant texts
-of the span only, so each is a target once. A turn that is over the budget by
-itself has a window of its own and is not cut.
+with the system turn, which windows keep, and with the last few turns before
+the span, which are repeated as history. The loss covers assistant texts of the
+span only, so each is a target once. The marks at the ends of a window count
+too. A turn that is over the budget by itself, or with the system turn,
+has a window of its own and is not cut; a system turn that alone is over the
+budget is in the first window only. So every window of two turns or more,
+besides the system turn, is within the budget.
+
+Every turn ends in a newline, which the tokenizer's pattern joins with nothing
+there, so the tokens of a window are the sum of those of its turns, and what
+the marks at its ends add, which is always the same.
 
 Control strings inside roles and texts are broken up by a backslash, and
 backslashes doubled, which ``unescape`` undoes. Turns are ordered by number
@@ -14,8 +21,9 @@ Null roles and texts count as empty. Rows without conv_id form one conversation
 with a null id. A first turn of role ``system`` is the system turn; later ones
 are ordinary. Empty tables give empty results; extra columns are ignored.
 
-Rows are dealt by conversation and sorted; a conversation streams through its
-task in runs of turns, so no conversation is held whole.
+Turns are counted where they are read. Then rows are dealt by conversation and
+sorted; a conversation streams through its task in runs of turns, so no
+conversation is held whole.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import map_batches, slices
 
 BUDGET = 1024
 HISTORY = 256
@@ -62,8 +71,8 @@ def render(role: str, text: str) -> str:
 class _Conversation:
     """What the windows of one conversation still need from the turns before."""
 
-    def __init__(self, conv_id, budget: int, history: int):
-        self.conv_id, self.budget, self.history = conv_id, budget, history
+    def __init__(self, conv_id, budget: int, history: int, marks: int):
+        self.conv_id, self.budget, self.history, self.marks = conv_id, budget - marks, history, marks
         self.system: tuple[str, int] | None = None
         self.past: list[tuple[str, int]] = []
         self.waiting: list[tuple[str, str, int]] = []
@@ -77,14 +86,17 @@ class _Conversation:
         start = 0
         while start < len(turns):
             first = not self.started
-            kept = [self.system] if self.system else []
+            room = self.budget - turns[start][2]
+            kept = [self.system] if self.system and self.system[1] <= self.budget else []
+            room -= sum(k[1] for k in kept)
             repeated, held = [], 0
             for turn in reversed(self.past):
-                if held + turn[1] > min(self.history, self.budget - sum(k[1] for k in kept) - turns[start][2]):
+                if held + turn[1] > min(self.history, room):
                     break
-                repeated.insert(0, turn)
+                repeated.append(turn)
                 held += turn[1]
-            room = self.budget - held - sum(k[1] for k in kept)
+            repeated.reverse()
+            room += turns[start][2] - held
             stop = max(start + 1, int(np.searchsorted(sums, sums[start] + room, side="right")) - 1)
             if stop >= len(turns) and not last:
                 break
@@ -93,10 +105,19 @@ class _Conversation:
             if first and turns[start][0] == "system":
                 self.system = turns[start][1:]
             after = [t[1:] for i, t in enumerate(turns[start:stop]) if not (first and i == 0 and self.system)]
-            self.past = (self.past + after)[-64:]
+            self._remember(after)
             start = stop
         self.waiting = turns[start:]
 
+    def _remember(self, turns: list[tuple[str, int]]) -> None:
+        """Of the turns so far those that history may hold: the last ones, as long as their tokens are within it."""
+        self.past += turns
+        first, held = len(self.past), 0
+        while first and held + self.past[first - 1][1] <= self.history:
+            first -= 1
+            held += self.past[first][1]
+        del self.past[:first]
+
     def _window(self, repeated: list[tuple[str, int]], turns: list[tuple[str, str, int]]) -> dict:
         parts = [BEGIN, *(r for r, _ in repeated)]
         at = sum(map(len, parts))
@@ -108,7 +129,24 @@ class _Conversation:
             parts.append(rendered)
             at += len(rendered)
         self.window += 1
-        return {"conv_id": self.conv_id, "window": self.window - 1, "text": "".join(parts) + CLOSE, "n_repeated": len(repeated), "loss": loss, "n_tokens": sum(n for _, n in repeated) + sum(n for *_, n in turns)}
+        return {"conv_id": self.conv_id, "window": self.window - 1, "text": "".join(parts) + CLOSE, "n_repeated": len(repeated), "loss": loss, "n_tokens": self.marks + sum(n for _, n in repeated) + sum(n for *_, n in turns)}
+
+
+def _counted(turns: DataFrame, path: str, pattern: str) -> DataFrame:
+    """conv_id, turn, role, text and n_tokens of the rendered turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        end = enc.count_all([END[-1:].encode()])[0]
+        for batch in batches:
+            for start, stop in slices(batch.column(3).cast(pa.binary())):
+                part = batch.slice(start, stop - start)
+                rendered = [render(role, text)[:-1].encode() for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                counts = pa.array([n + end for n in enc.count_all(rendered)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, counts], names=[*part.schema.names, "n_tokens"])
+
+    types = dict(turns.dtypes)
+    return map_batches(turns, run, f"conv_id {types['conv_id']}, turn {types['turn']}, role string, text string, n_tokens long")
 
 
 def format_chats(conversations: DataFrame, path: str, pattern: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -118,39 +156,43 @@ def format_chats(conversations: DataFrame, path: str, pattern: str, budget: int
     """
     empty = F.lit("")
     turns = conversations.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    turns = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "text")
+    turns = _counted(turns, path, pattern).repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "text")
     kind = dict(turns.dtypes)["conv_id"]
     fields = [("window", pa.int32()), ("text", pa.string()), ("n_repeated", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("n_tokens", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
+        opened, turn, close = enc.count_all([x.encode() for x in (BEGIN + TURN, TURN, CLOSE)])
+        marks = opened - turn + close
         current: _Conversation | None = None
+        schema = None
         for batch in batches:
             out: list[dict] = []
+            held = 0
             schema = pa.schema([("conv_id", batch.schema.field(0).type), *fields])
             for rows in _runs(batch):
-                rendered = [render(role, text) for _, role, text in rows]
-                counts = [len(x) for x in enc.encode_all([x.encode() for x in rendered])]
-                turns = [(row[1], x, n) for row, x, n in zip(rows, rendered, counts, strict=True)]
                 start = 0
                 while start < len(rows):
                     stop = start
                     while stop < len(rows) and rows[stop][0] == rows[start][0]:
                         stop += 1
+                    done = []
                     if current is None or current.conv_id != rows[start][0]:
                         if current is not None:
-                            out.extend(current.take([], True))
-                        current = _Conversation(rows[start][0], budget, history)
-                    out.extend(current.take(turns[start:stop], False))
+                            done += current.take([], True)
+                        current = _Conversation(rows[start][0], budget, history, marks)
+                    done += current.take([(role, render(role, text), n) for _, role, text, n in rows[start:stop]], False)
+                    out += done
+                    held += sum(len(x["text"]) for x in done)
                     start = stop
-                if sum(len(x["text"]) for x in out) > RUN_CHARS:
+                if held > RUN_CHARS:
                     yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
+                    out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema)
         if current is not None:
             yield pa.RecordBatch.from_pylist(list(current.take([], True)), schema)
 
-    return turns.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, window int, text string, n_repeated int, loss array<struct<start:int,stop:int>>, n_tokens long")
+    return map_batches(turns.select("conv_id", "role", "text", "n_tokens"), run, f"conv_id {kind}, window int, text string, n_repeated int, loss array<struct<start:int,stop:int>>, n_tokens long")
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
@@ -197,4 +239,4 @@ def read_back(windows: DataFrame) -> DataFrame:
         if current is not None:
             yield pa.RecordBatch.from_pylist([closed()], schema)
 
-    return windows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return map_batches(windows, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

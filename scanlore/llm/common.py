@@ -1,54 +1,70 @@
-"""What several operators share: the scratch folder, word splitting and hashing."""
+"""What several operators share: batches for Python, memos of bounded size, column names and hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, release, save, scratch_dir, scratch_path  # noqa: F401
+
 #: Rows that may be broadcast when their count has been taken first (8 to 16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="spark-scratch-")
-        context._conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
-_written: list[str] = []
 
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in df.dtypes)
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on an Arrow batch, so that texts do not reach a worker by tens of megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b") or 0) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
-def release(spark: SparkSession) -> None:
-    """Delete what was saved so far; to be called when results that read it have been written."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker gives back what Arrow still holds at the end of a task."""
+    small_batches(df.sparkSession)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
+def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text, or of lists of ids, one row at least."""
+    start, held = 0, 0
+    for i, x in enumerate(texts):
+        size = 0 if not x.is_valid else 4 * len(x) if isinstance(x, pa.ListScalar) else len(x.as_buffer())
+        if held and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if len(texts):
+        yield start, len(texts)
 
 
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,24 +72,41 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def matched(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
+
+    Groups are broadcast when there are ``most`` at most. Else those that hold
+    more than 1 / ``most`` of the rows in groups, of which there cannot be
+    more than that number, are, and their rows leave the join that shuffles.
+    """
+    count, total = groups.agg(F.count("*"), F.sum(n)).first()
+    if count <= most:
+        return rows.join(F.broadcast(groups), key, how)
+    hot = groups.filter(F.col(n) > F.lit(total // most))
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, how)
+    return apart.unionByName(rows.join(F.broadcast(hot), key, "inner" if how == "left" else how))
+
+
 def reduced(docs: DataFrame, named: DataFrame, key: str, mark: Column) -> DataFrame:
-    """``docs`` without the rows that ``named`` (__id, __mark, __stays) says go, and with one row of each that repeats and stays.
+    """``docs`` without the rows that ``named`` (id, mark, stays) says go, and with one row of each that repeats and stays.
 
     A row is named by its id and ``mark``, a hash of its text. Of rows alike in
     both the one with the smallest hash of all its columns stays; they are
     reduced in each task first, so one that a third of all rows repeat leaves
     each task once.
     """
-    same = docs[key].eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
-    gone, many = named.filter("NOT __stays"), named.filter("__stays")
+    of_id, of_mark, whole = fresh(docs, "of_id", "of_mark", "whole")
+    named = named.select(F.col("id").alias(of_id), F.col("mark").alias(of_mark), "stays")
+    same = docs[key].eqNullSafe(named[of_id]) & (mark == named[of_mark])
+    gone, many = named.filter("NOT stays").drop("stays"), named.filter("stays").drop("stays")
     n_gone, n_many = gone.count(), many.count()
     if not n_many:
         return docs.join(small(gone, n_gone), same, "left_anti")
-    single = docs.join(small(named, n_gone + n_many), same, "left_anti")
-    row = F.struct(*docs.columns)
+    single = docs.join(small(named.drop("stays"), n_gone + n_many), same, "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     copies = docs.join(small(many, n_many), same, "left_semi")
-    one = copies.groupBy(docs[key].alias("__id"), mark.alias("__mark")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
-    return single.unionByName(one.select("__row.*"))
+    one = copies.groupBy(docs[key].alias(of_id), mark.alias(of_mark)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(whole))
+    return single.unionByName(one.select(f"{whole}.*"))
 
 
 def utf8(column: str | Column) -> Column:
@@ -96,15 +129,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * (1.0 / 9007199254740992.0)
 
 
+#: Bytes an entry of a memo takes besides its key's and value's own content: the objects' heads and the places in the table.
+ENTRY_BYTES = 200
+#: Keys over this are not kept.
+KEY_BYTES = 256
+
+
 class Memo(dict):
-    """A dict that computes missing values and starts anew when it is full."""
+    """A dict of bytes keys that computes missing values, keeps short keys and starts anew when it holds ``limit`` bytes."""
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int, size=lambda value: 0):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.size, self.held = compute, limit, size, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.compute(key)
+        if isinstance(key, bytes) and len(key) > KEY_BYTES:
+            return value
+        cost = ENTRY_BYTES + (len(key) if isinstance(key, bytes) else 0) + self.size(value)
+        if self.held + cost > self.limit:
             self.clear()
-        value = self[key] = self.compute(key)
+            self.held = 0
+        self.held += cost
+        self[key] = value
         return value
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(name: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from one task to the next; the tables of the operator that ran there before are dropped."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]

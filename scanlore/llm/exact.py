@@ -6,11 +6,13 @@ empty, so all empty and null texts are one group. Of equal rows one id stays
 and are all marked as kept, of which ``exact_dedup`` returns one. A null id
 never stays before another; a group with null ids only keeps null. Empty tables give empty results; extra columns are ignored.
 
-Texts are shuffled once, by hash and text, after combining equal ones in each
-task, so a text that a third of all rows share leaves each task as one row. A
-hash with two different texts is found there, and its rows alone are joined
-back by text. The join back by hash carries no texts; Spark splits its skewed
-partitions.
+Hashes are grouped first, without texts. Only texts whose hash several rows
+have are shuffled, by hash and text, after combining equal ones in each task,
+so a text that a third of all rows share leaves each task as one row; a hash
+with two different texts is found there, and its rows alone are told apart by
+text. What is known of a hash goes back to its rows by a broadcast where such
+hashes were counted and are few; else the most frequent ones are broadcast and
+the others joined.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reduced, save
+from .common import matched, reduced, save
 
 
 def normalised(text: str | Column) -> Column:
@@ -32,24 +34,24 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256."""
     hashed = hashed or (lambda t: F.unhex(F.md5(t)))
     pick = F.max if keep == "max" else F.min
-    plain = docs.select(F.col(key).alias("id"), normalised(text).alias("norm"))
-    rows = plain.select("id", "norm", hashed(F.col("norm")).alias("h"))
-
-    # without text: one row for each different text, with how many its hash has
-    classes = rows.groupBy("h", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = classes.select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "norm")
-    texts = save(classes.select("h", "text_sha256", "keep_id", "group_size"), "exact-classes")
-    by_hash = texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.first("text_sha256").alias("text_sha256"))
-    collided = by_hash.filter("n_texts > 1").select("h")
-
-    one = rows.select("id", "h").join(by_hash.filter("n_texts = 1").drop("n_texts"), "h")
-    parts = one.select("id", "keep_id", "group_size", "text_sha256")
-    if not collided.isEmpty():
+    rows = docs.select(F.col(key).alias("id"), normalised(text).alias("norm")).withColumn("h", hashed(F.col("norm")))
+    keyed = save(rows.select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-keys")
+    groups = save(keyed.groupBy("h").agg(F.count("*").alias("group_size"), pick("id").alias("keep_id")).filter("group_size > 1"), "exact-groups")
+
+    # bytes are compared where a hash repeats
+    texts = matched(rows, groups.select("h", "group_size"), "h", "group_size", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("n"))
+    collided = save(texts.groupBy("h").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("h"), "exact-collided")
+    if collided.isEmpty():
+        found = matched(keyed, groups, "h", "group_size", "left")
+    else:
         again = rows.join(collided, "h", "left_semi")
-        exact = again.groupBy("h", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
-        both = again.join(exact, ["h", "norm"])
-        parts = parts.unionByName(both.select("id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")))
-    return parts.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        exact = again.groupBy("h", "norm").agg(F.count("*").alias("group_size"), pick("id").alias("keep_id"))
+        both = again.join(exact, ["h", "norm"]).select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", "keep_id")
+        found = matched(keyed.join(collided, "h", "left_anti"), groups.join(collided, "h", "left_anti"), "h", "group_size", "left").select(*both.columns).unionByName(both)
+    size = F.coalesce("group_size", F.lit(1)).cast("long")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    found = found.select("id", keep_id.alias("keep_id"), size.alias("group_size"), "sha")
+    return found.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
@@ -59,8 +61,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     only keeps one row too.
     """
     groups = exact_groups(docs, key, text, keep).filter("group_size > 1")
-    named = groups.groupBy(F.col(key).alias("__id"), F.unhex("text_sha256").alias("__mark")).agg(F.first("kept").alias("__stays"), F.count("*").alias("n"))
-    named = save(named.filter("NOT __stays OR n > 1").drop("n"), "exact-dropped")
+    named = groups.groupBy(F.col(key).alias("id"), F.unhex("text_sha256").alias("mark")).agg(F.first("kept").alias("stays"), F.count("*").alias("n"))
+    named = save(named.filter("NOT stays OR n > 1").drop("n"), "exact-dropped")
     return reduced(docs, named, key, F.unhex(F.sha2(normalised(docs[text]), 256)))
 
 

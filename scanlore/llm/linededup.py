@@ -2,17 +2,20 @@
 
 A page's lines are what stands between block tags, without scripts, styles,
 comments and other tags, trimmed, empty ones left out. A line goes from a page
-when the share of its host's pages that hold it is over ``RATIO`` and the host
-has ``MIN_PAGES`` pages at least. Each row counts as a page, repeated rows too;
-a line counts once in a page. Lines are told apart by 128-bit hashes.
+when the share of its host's pages that hold it is over ``RATIO`` and two pages
+hold it at least. Each row counts as a page, repeated rows too; a line counts
+once in a page. Lines are told apart by 128-bit hashes.
 
 Pages without a host keep all their lines. Null or empty pages have no lines.
 Null and repeated ids pass through; empty tables give empty results; extra
-columns are ignored.
+columns are ignored. Pages of any length take time in proportion to it, also
+where tags, comments or scripts are not closed.
 
 A line that is boilerplate stands on more than RATIO of its host's pages, so a
-host has at most (lines per page / RATIO) of them, whatever its size; that list
-goes to the host's pages in a join whose skewed partitions Spark splits.
+host has at most (lines per page / RATIO) of them, whatever its size. They go
+to the pages in buckets by hash, so that a line is looked up in one step: by a
+broadcast where there are few hosts that have any, else the largest hosts by a
+broadcast and the others by a join.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import matched, save, small
 
 RATIO = 0.3
-MIN_PAGES = 5
+MIN_HELD = 2
+#: Hosts whose boilerplate may be broadcast.
+BROADCAST_HOSTS = 10_000
 
 # What is cut out, what ends a line, what else is a tag, and how entities read.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -37,34 +42,84 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
+# What opens and what closes the parts that are cut out, and characters that no text should have.
+OPENERS = ((r"<(?=!--)", r"(?s)^.*-->"), (r"(?i)<(?=script\b)", r"(?is)^.*</script\s*>"), (r"(?i)<(?=style\b)", r"(?is)^.*</style\s*>"))
+STAND_INS = ("\ufdd0", "\ufdd1", "\ufdd2")
+
+
+def _without_hidden(text: Column) -> Column:
+    """``text`` without what HIDDEN says. What is opened behind the last place where it could be closed is masked first, so no search runs to the end in vain."""
+    free = F.lit(STAND_INS[-1])
+    for c in STAND_INS[:-1]:
+        free = F.when(~F.contains(text, F.lit(c)), F.lit(c)).otherwise(free)
+    masked = text
+    for opener, closed in OPENERS:
+        head = F.regexp_extract(masked, closed, 0)
+        tail = F.substr(masked, F.length(head) + 1)
+        masked = F.when(F.regexp_like(tail, F.lit(opener)), F.concat(head, F.regexp_replace(tail, F.lit(opener), free))).otherwise(masked)
+    return F.replace(F.regexp_replace(masked, HIDDEN, ""), free, F.lit("<"))
+
+
+def _tags_replaced(text: Column, opener: str, by: str) -> Column:
+    """``text`` with all that goes from ``opener`` to the next > replaced, looked for between each two of these."""
+    parts = F.split(text, ">")
+    n = F.size(parts)
+
+    def one(part: Column, i: Column) -> Column:
+        last = i == n - 1
+        return F.when(last, part).when(F.regexp_like(part, F.lit(opener)), F.regexp_replace(part, opener + "[^>]*", by)).otherwise(F.concat(part, F.lit(">")))
+
+    return F.array_join(F.transform(parts, one), "")
+
+
 def lines(html: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    text = F.regexp_replace(F.translate(text, "\t\r\x0b\x0c", "    "), BLOCKS, "\n")
-    text = F.regexp_replace(text, TAGS, "")
+    text = _without_hidden(F.coalesce(html, F.lit("")))
+    text = _tags_replaced(F.translate(text, "\t\r\x0b\x0c", "    "), BLOCKS.removesuffix("[^>]*>"), "\n")
+    text = _tags_replaced(text, "<", "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(prepared: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, host_pages and the hashes of lines that are boilerplate there; ``prepared`` has host and lines."""
-    pages = prepared.groupBy("host").agg(F.count("*").alias("host_pages"))
-    hashes = F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x)))
-    held = prepared.filter("host != ''").select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    over = held.join(pages, "host").filter((F.col("host_pages") >= min_pages) & (F.col("n") > ratio * F.col("host_pages")))
-    listed = over.groupBy("host").agg(F.collect_list("line").alias("common"))
-    return pages.join(listed, "host", "left")
+def _hash(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
-def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(prepared: DataFrame, hosts: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """host, line: hashes of the lines that are boilerplate there; ``prepared`` has host and lines, ``hosts`` host and host_pages."""
+    held = prepared.filter("host != ''").select("host", F.explode(F.transform(F.array_distinct("lines"), _hash)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    return held.filter(F.col("n") >= MIN_HELD).join(small(hosts, hosts.count()), "host").filter(F.col("n") > ratio * F.col("host_pages")).select("host", "line")
+
+
+def _bucket(line: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(line), n.cast("long")).cast("int")
+
+
+def by_bucket(common: DataFrame) -> DataFrame:
+    """host, buckets: as many as the host has lines, each with the lines whose hash falls there."""
+    sizes = common.groupBy("host").agg(F.count("*").alias("n"))
+    filled = common.join(sizes, "host").select("host", _bucket(F.col("line"), F.col("n")).alias("bucket"), "line")
+    every = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("bucket"), F.lit(None).cast("binary").alias("line"))
+    each = filled.unionByName(every).groupBy("host", "bucket").agg(F.collect_list("line").alias("held"))
+    return each.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("bucket", "held"))).alias("buckets")).select("host", F.col("buckets.held").alias("buckets"))
+
+
+def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO) -> DataFrame:
     """key, host, host_pages, n_lines, n_dropped, text (lines that stay, joined by newlines)."""
     # pages are taken apart once; the lines are read twice
     prepared = save(pages.select(F.col(key).alias("id"), host(F.col(url)).alias("host"), lines(F.col(html)).alias("lines")), "lines")
-    common = save(boilerplate(prepared.select("host", "lines"), ratio, min_pages), "boilerplate")
-    joined = prepared.join(common.withColumnRenamed("host", "at"), F.col("host") == F.col("at"))
-    stays = F.filter("lines", lambda x: F.coalesce(~F.array_contains(F.col("common"), F.unhex(F.md5(x))), F.lit(True)))
-    kept = joined.select("id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("common").isNull(), F.col("lines")).otherwise(stays).alias("kept"))
-    return kept.select(F.col("id").alias(key), "host", "host_pages", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    hosts = save(prepared.groupBy("host").agg(F.count("*").alias("host_pages")), "hosts")
+    common = save(boilerplate(prepared.select("host", "lines"), hosts, ratio), "boilerplate")
+    known = save(hosts.join(by_bucket(common), "host", "left"), "buckets")
+    found = matched(prepared, known, "host", "host_pages", "left", BROADCAST_HOSTS)
+
+    def stays(line: Column) -> Column:
+        h = _hash(line)
+        return ~F.array_contains(F.element_at("buckets", _bucket(h, F.size("buckets")) + 1), h)
+
+    kept = F.when(F.col("buckets").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    found = found.select("id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return found.select(F.col("id").alias(key), "host", "host_pages", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
 def _sql_lines() -> str:
@@ -81,7 +136,7 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, lower(coalesce(regexp_extr
 h AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 e AS (SELECT r, page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p),
 c AS (SELECT host, line FROM (SELECT DISTINCT r, host, line FROM e WHERE host <> '') JOIN h USING (host) GROUP BY host, line, host_pages
-  HAVING count(*) > {RATIO} * host_pages AND host_pages >= {MIN_PAGES}),
+  HAVING count(*) > {RATIO} * host_pages AND count(*) >= {MIN_HELD}),
 k AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM e ANTI JOIN c USING (host, line) GROUP BY r)
 SELECT page_id, host, host_pages, len(lines) AS n_lines, len(lines) - coalesce(n, 0) AS n_dropped, length(coalesce(text, '')) AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256
 FROM p JOIN h USING (host) LEFT JOIN k USING (r)

@@ -16,7 +16,6 @@ when there are none). Repeated rows are scored alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import mix64, save, utf8
+from .common import kept_by_worker, map_batches, mix64, save, slices, utf8
 from .text_model import BLOCK, Words, adam, held_out_by, labelled, scored
 
 BUCKETS, DIMENSIONS, REACH = 1 << 14, 32, 2
@@ -34,9 +32,8 @@ PARTS = 64
 HIDDEN, PASSES = 24, 60
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> Words:
-    return Words(BUCKETS, split_marks=True)
+    return kept_by_worker(("quality",), lambda: Words(BUCKETS, split_marks=True))
 
 
 def _index_vectors() -> np.ndarray:
@@ -82,7 +79,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> dict:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "data": pa.array([_packed(total)], pa.binary())})
 
     kind = "part int, task int, data binary"
-    each = source.mapInArrow(run, kind)
+    each = map_batches(source, run, kind)
     halfway = each.groupBy("part", F.pmod("task", F.lit(997)).alias("lot")).applyInArrow(lambda key, t: add(key, t), kind)
     found = save(halfway.groupBy("part").applyInArrow(lambda key, t: add(key, t), kind), "word-vectors")
     parts = {r["part"]: _unpacked(r["data"]) for r in found.collect()}  # PARTS rows, 4 MB
@@ -131,13 +128,14 @@ def pooled(model: dict, text: bytes) -> np.ndarray:
     return out
 
 
-def train(model: dict, sample: list[tuple[bytes, int]], seed: int = 11) -> dict:
+def train(model: dict, sample: list[tuple[bytes | np.ndarray, int]], seed: int = 11) -> dict:
+    """Learn from texts or from what ``pooled`` makes of them."""
     y = np.array([b for _, b in sample], np.float64)
     model = model | {"prior": float(y.mean()) if len(y) else 0.0}
     if len(set(y.tolist())) < 2:
         return model
     rng = np.random.default_rng(seed)
-    x = np.array([pooled(model, a) for a, _ in sample])
+    x = np.array([a if isinstance(a, np.ndarray) else pooled(model, a) for a, _ in sample])
     fit = rng.random(len(y)) < 0.8
     model["mid"], model["scale"] = x[fit].mean(0), x[fit].std(0) + 1e-6
     x = (x - model["mid"]) / model["scale"]
@@ -179,6 +177,9 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
+    """key, held_out, score and predicted for every row."""
     held_out = held_out or held_out_by(3, 1)
-    model = train(word_vectors(docs, text), labelled(docs, labels, "quality", held_out, key, text))
-    return scored(docs, model, score, held_out, key, text)
+    vectors = word_vectors(docs, text)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    sample = labelled(docs, labels, "quality", held_out, key, text, prepare=lambda x: pooled(sent.value, x))
+    return scored(docs, train(vectors, sample), score, held_out, key, text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, utf8
+from .common import Memo, Scratch, map_batches, slices, utf8
 
 #: Labelled rows a classifier learns from at most: those with the smallest hashes.
 SAMPLE_ROWS = 6000
-#: Bytes of text a sample row may bring; longer texts give a random run of that length for training only.
-SAMPLE_BYTES = 10_000
+#: Bytes of whole text that the sample may hold, and that one of its texts may.
+SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 48 << 20, 1 << 20
+#: Bytes of chunks that a worker keeps with their words.
+MEMO_BYTES = 48 << 20
 #: Words looked at together.
 BLOCK = 1 << 16
 
@@ -28,7 +30,7 @@ class Words:
 
     def __init__(self, buckets: int, split_marks: bool):
         self.buckets, self.split_marks = buckets, split_marks
-        self.memo = Memo(self._ids, 400_000)
+        self.memo = Memo(self._ids, MEMO_BYTES, lambda ids: 40 * len(ids))
 
     def _ids(self, chunk: bytes) -> tuple[int, ...]:
         found = _letters(chunk.decode("utf-8", "replace").lower())
@@ -41,24 +43,46 @@ class Words:
         return np.array([i for x in data.split() for i in memo[x]], np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
-    """A sample of labelled texts, as many of each label as the bound allows; rows held out are never in it.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, prepare: Callable[[bytes], np.ndarray] | None = None) -> list[tuple]:
+    """A sample of labelled whole texts, as many of each label as the bound allows; rows held out are never in it.
 
-    The bound is ``rows``: half may be of either label, so what reaches the
-    driver is at most ``rows`` times SAMPLE_BYTES. Where an id repeats, one of
-    its texts, the one with the smallest hash, counts once for each of its
-    labels; null labels are left out.
+    The bound is ``rows``, half of which may be of either label, and
+    SAMPLE_BYTES of their texts in all; texts over SAMPLE_TEXT_BYTES are not
+    taken. Where an id repeats, one of its texts, the one with the smallest
+    hash, counts once for each of its labels; null labels are left out.
+    ``prepare`` is applied in the tasks to each text; its array (of int32 or
+    double) is returned in the text's place.
     """
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key), F.col(label).alias("__y")).distinct()
-    order = F.xxhash64(F.col(key), F.lit("sample"))
-    best = [chosen.filter(F.col("__y") == y).orderBy(order, key).limit(rows // 2) for y in (0, 1)]
-    picked = best[0].unionByName(best[1])
-    length = F.greatest(F.length(utf8(text)) - SAMPLE_BYTES, F.lit(0))
-    start = (F.pmod(F.xxhash64(F.col(key), F.lit("start")), length + 1) + 1).cast("int")
-    joined = docs.select(key, text).join(F.broadcast(picked), key).select(F.col(key).alias("__key"), "__y", F.xxhash64(utf8(text)).alias("h"), F.substr(utf8(text), start, F.lit(SAMPLE_BYTES)).alias("t"))
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("id"), F.col(label).alias("y")).distinct()
+    best = [chosen.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(rows // 2) for y in (0, 1)]
+    picked = F.broadcast(best[0].unionByName(best[1]))
+    fine = docs.select(F.col(key).alias("id"), utf8(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
     # an id may repeat in any number of rows: its texts are reduced in the tasks, before anything is collected
-    single = joined.groupBy("__key", "__y").agg(F.min(F.struct("h", "t")).alias("least")).select(F.xxhash64("__key").alias("o"), "__y", F.col("least.t").alias("t"))
-    return [(bytes(r["t"]), int(r["__y"])) for r in sorted(single.collect(), key=lambda r: (r["o"], r["__y"], bytes(r["t"])))]
+    least = fine.join(picked, "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"))
+    with Scratch(docs.sparkSession) as tmp:
+        single = tmp.save(least.select(F.xxhash64("id").alias("o"), "y", F.col("least.t").alias("t")), "sample")
+        sizes = single.select("o", "y", F.octet_length("t").alias("n")).orderBy("o", "y").collect()  # three numbers for each of ``rows``
+        ends = np.cumsum([r["n"] for r in sizes])
+        last = int(np.searchsorted(ends, SAMPLE_BYTES, side="right"))
+        if last < len(sizes):
+            o, y = sizes[last]["o"], sizes[last]["y"]
+            single = single.filter((F.col("o") < o) | ((F.col("o") == o) & (F.col("y") < y)))
+        if prepare is None:
+            found = [(r["o"], int(r["y"]), bytes(r["t"])) for r in single.collect()]
+        else:
+            found = [(r["o"], int(r["y"]), np.frombuffer(r["x"], np.int32 if r["whole"] else np.float64)) for r in _prepared(single, prepare).collect()]
+    return [(x, y) for _, y, x in sorted(found, key=lambda r: (r[0], r[1], bytes(r[2])))]
+
+
+def _prepared(single: DataFrame, prepare: Callable[[bytes], np.ndarray]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.asarray(prepare(x.as_py())) for x in batch.column(2)]
+            whole = [x.dtype.kind == "i" for x in found]
+            data = [x.astype(np.int32 if w else np.float64).tobytes() for x, w in zip(found, whole, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(data, pa.binary()), pa.array(whole, pa.bool_())], names=["o", "y", "x", "whole"])
+
+    return map_batches(single.select("o", F.col("y").cast("int"), "t"), run, "o long, y int, x binary, whole boolean")
 
 
 def held_out_by(divisor: int, remainder: int):
@@ -68,14 +92,16 @@ def held_out_by(divisor: int, remainder: int):
 def scored(docs: DataFrame, model, score, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Apply ``score(model, list of texts) -> float array`` to every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(key), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), utf8(text).alias("utf8"))
+    source = docs.select(F.col(key).alias("id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), utf8(text).alias("utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score(sent.value, [x.as_py() for x in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.astype(np.float64)), pa.array((found >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
+            for start, stop in slices(batch.column(2)):
+                found = score(sent.value, [x.as_py() for x in batch.column(2)[start:stop]])
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.astype(np.float64)), pa.array((found >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, held_out boolean, score double, predicted int")
+    return map_batches(source, run, f"id {source.dtypes[0][1]}, held_out boolean, score double, predicted int").withColumnRenamed("id", key)
 
 
 def adam(params: dict[str, np.ndarray], grads: dict[str, np.ndarray], state: dict, rate: float, decay: float = 0.0) -> None:

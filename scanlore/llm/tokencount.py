@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices
-from .common import save, scratch_path, utf8
+from .bpe import Vocabulary, encoder
+from .common import map_batches, save, scratch_path, slices, utf8
 
 #: A file is closed when it holds so many bytes.
 FILE_BYTES = 16 << 20
@@ -36,8 +36,8 @@ def width_of(vocabulary_size: int) -> int:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the texts below ``folder``, which driver and executors share; returns the manifest."""
-    source = docs.select(F.col(key), utf8(text).alias("utf8"))
+    """Write the texts below ``folder``, which driver and executors share; returns the manifest (file, ordinal, id)."""
+    source = docs.select(F.col(key).alias("id"), utf8(text).alias("utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -61,37 +61,46 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
                     written += len(data)
                     places = np.arange(ordinal, ordinal + len(found))
                     ordinal += len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(places, pa.int64()), batch.column(0)[start:stop]], names=["file", "ordinal", key])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(places, pa.int64()), batch.column(0)[start:stop]], names=["file", "ordinal", "id"])
         finally:
             if out is not None:
                 out.close()
 
-    manifest = source.mapInArrow(run, f"file string, ordinal long, `{key}` {dict(source.dtypes)[key]}")
-    return save(manifest, "manifest")
+    return save(map_batches(source, run, f"file string, ordinal long, id {source.dtypes[0][1]}"), "manifest")
 
 
 def scan_token_files(spark: SparkSession, folder: str, end: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, ordinal, n_tokens of every document in the files of ``folder``."""
     block_bytes -= block_bytes % width
-    files = spark.read.format("binaryFile").load(folder).filter("length > 0")
-    name = F.element_at(F.split("path", "/"), -1)
-    number = F.explode(F.sequence(F.lit(0), (F.ceil(F.length("content") / block_bytes) - 1).cast("int")))
-    blocks = files.select(name.alias("file"), "content", F.floor(F.col("length") / width).alias("size"), number.alias("block"))
-    blocks = blocks.select("file", "size", "block", F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    # only the list of files comes from Spark; tasks read byte ranges of them, so a file may have any length
+    files = spark.read.format("binaryFile").load(folder).filter("length > 0").select("path", "length")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("length") / block_bytes) - 1).cast("long")))
+    blocks = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.floor(F.col("length") / width).alias("size"), number.alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name, source = None, None
         for batch in batches:
             first, last, inner = [], [], []
-            for number, data in zip(batch.column(2), batch.column(3), strict=True):
-                raw = data.as_buffer()
+            for path, number in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if path != name:
+                    if source is not None:
+                        source.close()
+                    store, place = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                    name, source = path, store.open_input_file(place)
+                raw = source.read_at(min(block_bytes, source.size() - number * block_bytes), number * block_bytes)
                 ids = np.frombuffer(raw, f"<u{width}", len(raw) // width)
-                ends = np.flatnonzero(ids == end) + number.as_py() * (block_bytes // width)
+                ends = np.flatnonzero(ids == end) + number * (block_bytes // width)
                 first.append(int(ends[0]) if len(ends) else None)
                 last.append(int(ends[-1]) if len(ends) else None)
                 inner.append(np.diff(ends) - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["file", "size", "block", "first", "last", "inner"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["file", "size", "block", "first", "last", "inner"])
+        if source is not None:
+            source.close()
 
-    found = blocks.mapInArrow(run, "file string, size long, block int, first long, last long, inner array<long>")
+    dealt = blocks.repartition("path", F.floor(F.col("block") / 64))
+    found = map_batches(dealt, run, "file string, size long, block long, first long, last long, inner array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.when(F.col("first").isNull(), 0).otherwise(F.size("inner") + 1)
     placed = found.withColumn("earlier", F.coalesce(F.sum(ends).over(before), F.lit(0))).withColumn("begun", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
@@ -104,11 +113,15 @@ def scan_token_files(spark: SparkSession, folder: str, end: int, width: int = 2,
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write token files for ``docs`` and count each document's tokens by scanning them: key, n_tokens, file, ordinal."""
+    """Write token files for ``docs`` and count each document's tokens by scanning them: key, n_tokens, file, ordinal.
+
+    The files are on the list of what ``release`` deletes.
+    """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
-    manifest = write_token_files(docs, folder, path, pattern, end, key, text)
+    manifest = write_token_files(docs, folder if "://" in folder else f"file://{folder}", path, pattern, end, key, text)
     if manifest.isEmpty():
-        return manifest.select(key, F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal")
-    counts = scan_token_files(spark, folder, end)
-    return manifest.join(counts, ["file", "ordinal"]).select(key, "n_tokens", "file", "ordinal")
+        return manifest.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal")
+    width = width_of(max(Vocabulary.load(path).size, end + 1))
+    counts = scan_token_files(spark, folder, end, width)
+    return manifest.join(counts, ["file", "ordinal"]).select(F.col("id").alias(key), "n_tokens", "file", "ordinal")

@@ -18,9 +18,11 @@ import functools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by_worker, slices, small_batches, utf8
 from .text_model import BLOCK, Words, adam, held_out_by, labelled, scored
 
 BUCKETS = 1 << 20
@@ -38,9 +40,8 @@ FUNCTION_WORDS = {
 LANGUAGES = (*FUNCTION_WORDS, "other")
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> Words:
-    return Words(BUCKETS, split_marks=False)
+    return kept_by_worker(("toxicity",), lambda: Words(BUCKETS, split_marks=False))
 
 
 @functools.lru_cache(maxsize=1)
@@ -107,14 +108,14 @@ def _pool_many(model: dict, texts: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def train(sample: list[tuple[bytes, int]], seed: int = 7) -> dict:
-    """Words that occur in two texts of the sample at least get an embedding, all others none."""
+def train(sample: list[tuple[bytes | np.ndarray, int]], seed: int = 7) -> dict:
+    """Learn from texts or their word ids. Words that occur in two texts at least get an embedding, all others none; without such words every score is the share of toxic labels."""
     y = np.array([b for _, b in sample], np.float32)
     model: dict = {"prior": float(y.mean()) if len(y) else 0.0}
     if len(set(y.tolist())) < 2:
         return model
     rng = np.random.default_rng(seed)
-    ids = [_words().ids(a) for a, _ in sample]
+    ids = [a if isinstance(a, np.ndarray) else _words().ids(a) for a, _ in sample]
     fit = rng.random(len(ids)) < 0.8
     seen = [np.unique(x) for x in ids]
     every, back = np.unique(np.concatenate(seen), return_inverse=True)
@@ -123,6 +124,8 @@ def train(sample: list[tuple[bytes, int]], seed: int = 7) -> dict:
     pos = np.bincount(back[used], y[owner[used]], len(every))
     both = np.bincount(back[used], minlength=len(every))
     kept = both >= 2
+    if not kept.any():
+        return model
     odds = np.log((pos[kept] + 0.2) / (y[fit].sum() + 1)) - np.log((both[kept] - pos[kept] + 0.2) / ((1 - y[fit]).sum() + 1))
     vocabulary = every[kept]
     table = rng.normal(0, 0.05, (len(vocabulary) + 1, EMBEDDED)).astype(np.float32)
@@ -199,22 +202,24 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def fitted(docs: DataFrame, labels: DataFrame, held_out, key: str, text: str) -> dict:
+    return train(labelled(docs, labels, "toxic", held_out, key, text, prepare=lambda x: _words().ids(x)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
+    """key, held_out, score and predicted for every row."""
     held_out = held_out or held_out_by(5, 0)
-    return scored(docs, train(labelled(docs, labels, "toxic", held_out, key, text)), score, held_out, key, text)
+    return scored(docs, fitted(docs, labels, held_out, key, text), score, held_out, key, text)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; only their texts go to Python."""
     held_out = held_out or held_out_by(5, 0)
-    sent = docs.sparkSession.sparkContext.broadcast(train(labelled(docs, labels, "toxic", held_out, key, text)))
-
-    @pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, held_out, key, text))
+    small_batches(docs.sparkSession)
 
-        return pd.Series(score(sent.value, [x.encode("utf-8", "replace") for x in texts]))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.float64()), *(pa.array(score(sent.value, [x.as_py() for x in texts[a:b]])) for a, b in slices(texts))])
 
-    return docs.filter(scores(F.coalesce(F.col(text), F.lit(""))) < 0.5)
+    return docs.filter(scores(utf8(docs[text])) < 0.5)
