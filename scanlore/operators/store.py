@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def dedup_series(files: DataFrame) -> DataFrame:
     """One file per series UID, the one with the smallest path; files without UID all stay.
 
-    The least row by path is taken with partial aggregation, so a series with
-    very many files leaves each task as one row.
+    Spark limits each series to its first row before the shuffle as well as
+    behind it, so one with very many files leaves each task as one row, and
+    columns that are not asked for are not read.
     """
-    row = F.struct(*files.columns)
-    best = files.groupBy(F.coalesce("series_instance_uid", "file_path").alias("__key")).agg(F.min_by(row, "file_path").alias("__row"))
-    return best.select("__row.*")
+    order = Window.partitionBy(F.coalesce("series_instance_uid", "file_path")).orderBy("file_path")
+    return files.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
 
 
 TAG_KEY = ("series_instance_uid", "group_hex", "element_hex", "creator", "value_hash")
