@@ -20,6 +20,8 @@ broadcast and the others by a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +46,56 @@ def host(url: Column) -> Column:
 
 # What opens and what closes the parts that are cut out, and characters that no text should have.
 OPENERS = ((r"<(?=!--)", r"(?s)^.*-->"), (r"(?i)<(?=script\b)", r"(?is)^.*</script\s*>"), (r"(?i)<(?=style\b)", r"(?is)^.*</style\s*>"))
+HIDDEN_BEGINS = r"(?i)<!--|<script\b|<style\b"
 STAND_INS = ("\ufdd0", "\ufdd1", "\ufdd2")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _masked(text: Column, opener: str, closed: str, free: Column) -> Column:
+    """``text`` with ``free`` in place of the < of what is opened behind the last place where it could be closed."""
+
+    def of(text: Column) -> Column:
+        def behind(head: Column) -> Column:
+            return F.concat(head, F.regexp_replace(F.substr(text, F.length(head) + 1), F.lit(opener), free))
+
+        return F.when(F.regexp_like(text, F.lit(opener)), _let(F.regexp_extract(text, closed, 0), behind)).otherwise(text)
+
+    return _let(text, of)
+
+
 def _without_hidden(text: Column) -> Column:
-    """``text`` without what HIDDEN says. What is opened behind the last place where it could be closed is masked first, so no search runs to the end in vain."""
-    free = F.lit(STAND_INS[-1])
-    for c in STAND_INS[:-1]:
-        free = F.when(~F.contains(text, F.lit(c)), F.lit(c)).otherwise(free)
-    masked = text
-    for opener, closed in OPENERS:
-        head = F.regexp_extract(masked, closed, 0)
-        tail = F.substr(masked, F.length(head) + 1)
-        masked = F.when(F.regexp_like(tail, F.lit(opener)), F.concat(head, F.regexp_replace(tail, F.lit(opener), free))).otherwise(masked)
-    return F.replace(F.regexp_replace(masked, HIDDEN, ""), free, F.lit("<"))
+    """``text`` without what HIDDEN says. What is never closed is masked first, so no search runs to the end in vain."""
+
+    def cut(text: Column, free: Column) -> Column:
+        for opener, closed in OPENERS:
+            text = _masked(text, opener, closed, free)
+        return F.replace(F.regexp_replace(text, HIDDEN, ""), free, F.lit("<"))
+
+    def of(text: Column) -> Column:
+        free = F.lit(STAND_INS[-1])
+        for c in STAND_INS[:-1]:
+            free = F.when(~F.contains(text, F.lit(c)), F.lit(c)).otherwise(free)
+        return F.when(F.regexp_like(text, F.lit(HIDDEN_BEGINS)), _let(free, lambda c: cut(text, c))).otherwise(text)
+
+    return _let(text, of)
 
 
 def _tags_replaced(text: Column, opener: str, by: str) -> Column:
     """``text`` with all that goes from ``opener`` to the next > replaced, looked for between each two of these."""
-    parts = F.split(text, ">")
-    n = F.size(parts)
 
-    def one(part: Column, i: Column) -> Column:
-        last = i == n - 1
-        return F.when(last, part).when(F.regexp_like(part, F.lit(opener)), F.regexp_replace(part, opener + "[^>]*", by)).otherwise(F.concat(part, F.lit(">")))
+    def of(parts: Column) -> Column:
+        def one(part: Column) -> Column:
+            return F.when(F.regexp_like(part, F.lit(opener)), F.regexp_replace(part, opener + "[^>]*", by)).otherwise(F.concat(part, F.lit(">")))
+
+        # the last part has no > behind it
+        closed = F.transform(F.slice(parts, 1, F.size(parts) - 1), one)
+        return F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
 
-    return F.array_join(F.transform(parts, one), "")
+    return _let(F.split(text, ">"), of)
 
 
 def lines(html: Column) -> Column:
