@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import dashboard, detail, export, filters, private_tags, representative, store, studies
 from .plans import inputs, oracle
 from .sources import archives, headers, vendor
+from .scratch import save, scratch_path
 from .streaming import ingest
 
 UID = "study_instance_uid"
@@ -112,19 +113,53 @@ def _header_bytes(files: DataFrame, implicit: bool = True) -> DataFrame:
     return files.select(*columns).mapInPandas(run, "path string, content binary")
 
 
+#: Tables that queries start from and no operator makes, by application and folder.
+_prepared: dict[tuple[str, ...], DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: str, d: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _prepared:
+        _prepared[key] = save(make(), name, keep=True)
+    return _prepared[key]
+
+
+def header_files(spark: SparkSession, d: str, implicit: bool = True) -> DataFrame:
+    """path and content of the files that ``inputs.files`` describes, written once."""
+    return _once(spark, f"header-files-{implicit}", d, lambda: _header_bytes(inputs.files(spark, d), implicit))
+
+
+def archive_files(spark: SparkSession, d: str) -> DataFrame:
+    """path and content of a ZIP for each study, written once."""
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        out = BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, content in zip(own["path"], own["content"], strict=True):
+                archive.writestr(name.replace("/", "_"), bytes(content))
+                archive.writestr(f"__MACOSX/._{name}", b"junk")
+        return pd.DataFrame({"path": [own["study"].iloc[0] + ".zip"], "content": [out.getvalue()]})
+
+    def make() -> DataFrame:
+        named = inputs.files(spark, d).select(F.col("file_path").alias("path"), F.col(UID).alias("study"))
+        return header_files(spark, d).join(named, "path").groupBy("study").applyInPandas(pack, "path string, content binary")
+
+    return _once(spark, "archive-files", d, make)
+
+
 def parse_headers(spark: SparkSession, d: str) -> DataFrame:
-    wide = headers.wide_projection(headers.parse_headers(_header_bytes(inputs.files(spark, d))))
+    wide = headers.wide_projection(headers.parse_headers(header_files(spark, d)))
     return wide.select("file_path", "patient_id", "patient_weight", UID, "study_date", "series_instance_uid", "series_number", "modality", "manufacturer", "acquisition_time", "injection_time", "radiopharmaceutical", "injected_activity", "half_life", "ctdivol", "number_of_slices")
 
 
 def ctp_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = private_tags.ctp_columns(headers.parse_headers(_header_bytes(inputs.files(spark, d), implicit=False)))
+    found = private_tags.ctp_columns(headers.parse_headers(header_files(spark, d, implicit=False)))
     return found.select("file_path", "ctp_collection", "ctp_subject_id", F.col("ctp_private_flag_int").cast("int").alias("ctp_private_flag_int"))
 
 
 def _tag_rows(spark: SparkSession, d: str) -> DataFrame:
     files = inputs.files(spark, d)
-    return private_tags.tag_rows(headers.parse_headers(_header_bytes(files, implicit=False)), files)
+    return private_tags.tag_rows(headers.parse_headers(header_files(spark, d, implicit=False)), files)
 
 
 def private_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -147,35 +182,52 @@ def csa_elements(spark: SparkSession, d: str) -> DataFrame:
 
 def expand_archive(spark: SparkSession, d: str) -> DataFrame:
     """A ZIP for each study, taken apart and read."""
-
-    def pack(own: pd.DataFrame) -> pd.DataFrame:
-        out = BytesIO()
-        with zipfile.ZipFile(out, "w") as archive:
-            for name, content in zip(own["path"], own["content"], strict=True):
-                archive.writestr(name.replace("/", "_"), bytes(content))
-                archive.writestr(f"__MACOSX/._{name}", b"junk")
-        return pd.DataFrame({"path": [own["study"].iloc[0] + ".zip"], "content": [out.getvalue()]})
-
-    files = inputs.files(spark, d)
-    bytes_of = _header_bytes(files).join(files.select(F.col("file_path").alias("path"), F.col(UID).alias("study")), "path")
-    found = archives.expand_archive(bytes_of.groupBy("study").applyInPandas(pack, "path string, content binary"))
+    found = archives.expand_archive(archive_files(spark, d))
     named = found.withColumn("name", F.concat_ws("/", "archive", "member"))
     wide = headers.wide_projection(headers.parse_headers(named, "name"))
     return wide.select(F.split("file_path", "/")[0].alias("archive"), F.split("file_path", "/")[1].alias("member"), "series_number")
 
 
-def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The files in two batches by path, streamed into a table; equal to the batch dedup as the first path comes first."""
-    import uuid
+PARTS = 3
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp"
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    files = inputs.files(spark, d)
-    files.write.parquet(f"{root}/in")
-    ingest.stream_table(spark, f"{root}/in", files.schema, f"{root}/out", f"{root}/log").awaitTermination()
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The header files arrive in three parts ordered by path, each read by its own run of the stream; the second part then comes a second time.
+
+    Equal to the batch dedup, as the first path comes first.
+    """
+    root = scratch_path(spark, "stream")
+    found = header_files(spark, d)
+    # the parts' borders are quantiles of the order number in the path, so every path of a part is before those of the next
+    scan = F.substring("path", 5, 1).cast("int")
+    part = F.floor(scan * PARTS / 7).cast("int")
+    for i in (*range(PARTS), 1):
+        found.filter(part == i).write.mode("append").parquet(f"{root}/in")
+        ingest.ingest_stream(spark.readStream.schema(found.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/log").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("file_path", "series_instance_uid")
 
 
+def ctp_demographics(spark: SparkSession, d: str) -> DataFrame:
+    """Demographics over series that carry the trial's columns."""
+    trial = private_tags.ctp_columns(headers.parse_headers(header_files(spark, d, implicit=False)))
+    return dashboard.demographics(series(spark, d).join(trial, "file_path", "left"))
+
+
+def json_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Series with their tags nested, written as JSON and read again."""
+    path = scratch_path(spark, "json")
+    export.json_dump(series(spark, d), inputs.tags(spark, d).select("file_path", "group_hex", "element_hex", "creator", "value_text"), path)
+    kinds = "file_path string, series_instance_uid string, modality string, private_tags array<struct<group_hex:string,element_hex:string,creator:string,value_text:string>>"
+    return spark.read.schema(kinds).json(path).select("file_path", "series_instance_uid", "modality", F.greatest(F.coalesce(F.size("private_tags"), F.lit(0)), F.lit(0)).cast("long").alias("n_tags"))
+
+
+def newest_first(spark: SparkSession, d: str) -> DataFrame:
+    """Studies in the order of the list, with their place in it."""
+    ordered = studies.newest_first(studies.study_list(series(spark, d)).select(UID, "study_date", "study_time"))
+    placed = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return spark.createDataFrame(placed, f"{UID} string, place long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_series": lambda s, d: series(s, d).select("file_path", "series_instance_uid", UID, "modality"),
     "dedup_tags": dedup_tags,
@@ -187,6 +239,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "new_studies": _of_existing(store.new_studies),
     "skip_existing_paths": _of_existing(lambda f, e: store.skip_existing_paths(f, e).select("file_path")),
     "ingest_report": _of_existing(store.ingest_report),
+    "newest_first": newest_first,
+    "missing_issues": _of_both(filters.missing_issues),
+    "timing_issues": _of_rep(filters.timing_issues),
+    "dose_issues": _of_rep(filters.dose_issues),
+    "composition_issues": _of_series(filters.composition_issues),
+    "ctp_demographics": ctp_demographics,
+    "series_lookup": _of_series(lambda x: detail.series_lookup(x, "1.2.840.1.1").select("file_path", "series_instance_uid", "modality")),
+    "study_export_info": _of_series(export.study_export_info),
+    "json_dump": json_dump,
     "study_list": _of_series(lambda x: studies.with_text_lists(studies.study_list(x))),
     "facet_values": _of_series(studies.facet_values),
     "facet_filter": _of_series(lambda x: studies.facet_filter(studies.study_list(x), modality=["PT", "CT"], manufacturer=["SIEMENS"]).select(UID)),

@@ -13,6 +13,7 @@ from ..functions import scalars as s
 from . import filters
 
 SUMMARY = ("patient_id", "patient_name", "patient_birth_date", "patient_sex", "patient_age", "patient_weight", "patient_size", "study_date", "study_time")
+TRIAL = ("ctp_collection", "ctp_subject_id", "ctp_private_flag_raw", "ctp_private_flag_int")
 UPTAKE_IDEAL, UPTAKE_WITHIN = 60, (45, 75)
 DOSE_IDEAL, DOSE_WITHIN = 3.0, (2.5, 3.5)
 
@@ -106,17 +107,21 @@ def _metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 
 def demographics(series: DataFrame) -> DataFrame:
+    """metric, n over studies; those flagged by a trial are counted where the table has the trial's columns."""
     age, sex = s.age_years_digits("patient_age"), F.coalesce(F.nullif("patient_sex", F.lit("")), F.lit("Unknown"))
     studies = study_summary(series)
     bands = {"age 0-17": age <= 17, "age 18-39": age.between(18, 39), "age 40-59": age.between(40, 59), "age 60-79": age.between(60, 79), "age 80+": age >= 80}
     lacking = {"missing weight": s.number("patient_weight").isNull(), "missing height": s.number("patient_size").isNull(), "missing birth date": ~s.filled("patient_birth_date")}
     fixed = _metrics(studies, {k: F.count_if(c) for k, c in (bands | lacking).items()})
-    return fixed.unionByName(category_counts(studies, F.concat(F.lit("sex "), sex), "metric"))
+    counted = fixed.unionByName(category_counts(studies, F.concat(F.lit("sex "), sex), "metric"))
+    if not any(c in series.columns for c in TRIAL):
+        return counted
+    return counted.unionByName(ctp_flagged(series).select(F.lit("ctp flagged").alias("metric"), F.col("ctp_flagged").alias("n")))
 
 
 def ctp_flagged(series: DataFrame) -> DataFrame:
     """Studies that carry any of the trial columns."""
-    flags = [s.filled(F.col(c).cast("string")) for c in ("ctp_collection", "ctp_subject_id", "ctp_private_flag_raw", "ctp_private_flag_int") if c in series.columns]
+    flags = [s.filled(F.col(c).cast("string")) for c in TRIAL if c in series.columns]
     flagged = flags[0] if flags else F.lit(False)
     for f in flags[1:]:
         flagged = flagged | f

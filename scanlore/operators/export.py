@@ -12,21 +12,39 @@ from ..functions import scalars as s
 from .filters import export_modality_filter
 from .representative import best_series_per_study_modality
 
-# Sections and their columns in order; a star marks what is exported when nothing is chosen.
+# Sections and their columns in order.
 SECTIONS = {
-    "patient": "patient_name* patient_id* patient_birth_date* patient_sex patient_age patient_weight* patient_size* bmi",
-    "study": "study_instance_uid study_date* study_time* study_description study_id accession_number referring_physician_name",
-    "series": "series_instance_uid series_number* series_date series_time series_description* protocol_name modality* body_part_examined",
-    "manufacturer": "manufacturer manufacturer_model_name station_name software_version device_serial_number institution_name institution_address",
-    "acquisition": "acquisition_date* acquisition_time* patient_position scanning_sequence sequence_variant scan_options acquisition_type slice_thickness reconstruction_diameter reconstruction_algorithm convolution_kernel filter_type spiral_pitch_factor ctdivol dlp kvp exposure_time exposure tube_current",
-    "nuclear": "radiopharmaceutical* injected_activity* injection_time* injection_date* half_life decay_correction radiopharmaceutical_volume radionuclide_total_dose uptake_delay dose_per_kg",
-    "image": "image_type pixel_spacing image_orientation_patient slice_location number_of_frames frame_time number_of_slices",
-    "ctp": "ctp_collection ctp_subject_id ctp_private_flag_raw ctp_private_flag_int",
-    "file": "id file_path created_at",
+    "patient": ["patient_name", "patient_id", "patient_birth_date", "patient_sex", "patient_age", "patient_weight", "patient_size", "bmi"],
+    "study": ["study_instance_uid", "study_date", "study_time", "study_description", "study_id", "accession_number", "referring_physician_name"],
+    "series": ["series_instance_uid", "series_number", "series_date", "series_time", "series_description", "protocol_name", "modality", "body_part_examined"],
+    "manufacturer": ["manufacturer", "manufacturer_model_name", "station_name", "software_version", "device_serial_number", "institution_name", "institution_address"],
+    "acquisition": ["acquisition_date", "acquisition_time", "patient_position", "scanning_sequence", "sequence_variant", "scan_options", "acquisition_type", "slice_thickness", "reconstruction_diameter", "reconstruction_algorithm", "convolution_kernel", "filter_type", "spiral_pitch_factor", "ctdivol", "dlp", "kvp", "exposure_time", "exposure", "tube_current"],
+    "nuclear": ["radiopharmaceutical", "injected_activity", "injection_time", "injection_date", "half_life", "decay_correction", "radiopharmaceutical_volume", "radionuclide_total_dose", "uptake_delay", "dose_per_kg"],
+    "image": ["image_type", "pixel_spacing", "image_orientation_patient", "slice_location", "number_of_frames", "frame_time", "number_of_slices"],
+    "ctp": ["ctp_collection", "ctp_subject_id", "ctp_private_flag_raw", "ctp_private_flag_int"],
+    "file": ["id", "file_path", "created_at"],
 }
-ORDER = [x.rstrip("*") for names in SECTIONS.values() for x in names.split()]
-DEFAULTS = [x[:-1] for names in SECTIONS.values() for x in names.split() if x.endswith("*")]
-GROUP_FIELDS = [x.rstrip("*") for k in ("patient", "study") for x in SECTIONS[k].split()]
+# What is exported when nothing is chosen.
+DEFAULTS = [
+    "patient_name", "patient_id", "patient_birth_date", "patient_weight", "patient_size", "study_date",
+    "study_time", "series_number", "series_description", "modality", "acquisition_date", "acquisition_time",
+    "radiopharmaceutical", "injected_activity", "injection_time", "injection_date",
+]
+# Columns whose heading is made of another name.
+LABEL_NAMES = {
+    "patient_size": "patient_height",
+    "study_instance_uid": "study_uid",
+    "referring_physician_name": "referring_physician",
+    "series_instance_uid": "series_uid",
+    "series_description": "description",
+    "body_part_examined": "body_part",
+    "manufacturer_model_name": "model",
+    "institution_name": "institution",
+    "id": "export_row_id",
+    "created_at": "export_created_at",
+}
+ORDER = [x for names in SECTIONS.values() for x in names]
+GROUP_FIELDS = SECTIONS["patient"] + SECTIONS["study"]
 DERIVED = ("uptake_delay", "dose_per_kg", "bmi")
 DATES = ("patient_birth_date", "study_date", "series_date", "acquisition_date", "injection_date")
 TIMES = ("study_time", "series_time", "acquisition_time", "injection_time")
@@ -39,7 +57,8 @@ def selected(requested: list[str] | None = None) -> list[str]:
 
 
 def labels(fields: list[str]) -> list[str]:
-    return [x.replace("_", " ").title() for x in fields]
+    """Headings of columns."""
+    return [LABEL_NAMES.get(x, x).replace("_", " ").title() for x in fields]
 
 
 def export_rows(series: DataFrame, modalities: list[str] | None = None) -> DataFrame:

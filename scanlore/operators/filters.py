@@ -11,6 +11,7 @@ from ..functions import scalars as s
 
 UID = "study_instance_uid"
 RADIOPHARM_FIELDS = ("dose", "injection_time", "radiopharmaceutical")
+PRESENT = ("weight", "dose", "injection_time", "acquisition_time", "radiopharmaceutical", "patient_sex", "patient_age")
 HIGH_SERIES = 20
 
 
@@ -48,6 +49,38 @@ def missing_filter(rep: DataFrame, series: DataFrame, field: str) -> DataFrame:
     return found.join(radiopharm_studies(series), UID, "left_semi") if field in RADIOPHARM_FIELDS else found
 
 
+def _issues(rows: DataFrame, issues: dict[str, Column]) -> DataFrame:
+    """issue, study_instance_uid for each issue that holds, all from one pass."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("issue"), F.coalesce(c, F.lit(False)).alias("holds")) for k, c in issues.items()))
+    return rows.select(UID, F.inline(pairs)).filter("holds").select("issue", UID)
+
+
+def missing_issues(rep: DataFrame, series: DataFrame) -> DataFrame:
+    """What ``missing_filter`` finds for every field."""
+    rows = rep.join(radiopharm_studies(series).withColumn("tracer_study", F.lit(True)), UID, "left")
+    asked = lambda field: F.col("tracer_study").isNotNull() if field in RADIOPHARM_FIELDS else F.lit(True)
+    return _issues(rows, {k: ~present(k) & asked(k) for k in PRESENT})
+
+
+def timing_issues(rep: DataFrame) -> DataFrame:
+    """What ``timing_filter`` finds for every issue."""
+    status = s.delay_status(signed="delay_signed")
+    return _issues(rep, {k: status == k for k in ("missing", "parse_fail", "negative", "too_long", "ok")} | {"study_time_conflict": s.time_conflict()})
+
+
+def dose_issues(rep: DataFrame) -> DataFrame:
+    """What ``dose_issue_filter`` finds for every issue."""
+    rows = rep.filter(s.is_radiopharm()).crossJoin(F.broadcast(dose_spread(rep)))  # one row by construction
+    weight, activity, dose = s.weight_best(), s.number("injected_activity"), s.dose_plausibility()
+    far = (F.col("dose_sd") > 0) & (F.abs(dose - F.col("dose_mean")) > 3 * F.col("dose_sd"))
+    return _issues(rows, {"missing_activity": weight.isNotNull() & activity.isNull(), "missing_weight": activity.isNotNull() & weight.isNull(), "unit_mismatch": (dose < 0.1) | (dose > 50), "outlier": far})
+
+
+def composition_issues(series: DataFrame) -> DataFrame:
+    """What ``composition_filter`` finds for every issue."""
+    return _issues(composition(series), {k: composition_is(k) for k in ("missing_ct", "missing_pt", "high_series")})
+
+
 def timing_filter(rep: DataFrame, issue: str) -> DataFrame:
     return rep.filter(s.time_conflict() if issue == "study_time_conflict" else s.delay_status(signed="delay_signed") == issue).select(UID)
 

@@ -2,7 +2,7 @@
 
 The same text runs in Spark and in DuckDB. The grain of ``files`` is a line item:
 study = order, patient = customer, device = supplier, tracer and vendor hash =
-part; ``tags`` has six private tags for each file with ``series_number`` <= 3.
+part; ``tags`` has six private tags for each file.
 """
 
 from __future__ import annotations
@@ -64,7 +64,6 @@ FROM files f CROSS JOIN (VALUES
   ('0029', '1031', 'SIEMENS CSA HEADER', 'OB', 'xml'), ('0009', '1010', 'GEMS_IDEN_01', 'DT', 'ts'),
   ('3287', '1000', 'Varian Medical Systems VISION 3287', 'LO', 'ts'), ('0099', '1001', 'Unknown', 'UN', 'bin')
 ) AS t(group_hex, element_hex, creator, vr, kind)
-WHERE f.series_number <= 3
 """
 
 

@@ -120,7 +120,63 @@ _EXPORT = f"""SELECT b.study_instance_uid AS study, cast({_PLACE} AS int) AS pla
 _START = "CASE WHEN injected_activity < 1e6 THEN injected_activity * 1e6 ELSE injected_activity END"
 _LEFT = f"CASE WHEN injected_activity <> 0 AND half_life <> 0 AND d <> 0 THEN {_START} * exp(-ln(2.0::double) / half_life * d * 60) END"
 
+_DATE = "CASE WHEN length({0}) >= 8 THEN substr({0}, 7, 2) || '/' || substr({0}, 5, 2) || '/' || substr({0}, 1, 4) ELSE coalesce({0}, '') END"
+_TIME = "CASE WHEN length({0}) < 6 THEN {0} WHEN {0} IS NULL THEN '' ELSE substr({0}, 1, 2) || ':' || substr({0}, 3, 2) || ':' || substr({0}, 5, 2) || CASE WHEN strpos({0}, '.') > 0 THEN '.' || substr(split_part({0}, '.', 2), 1, 1) ELSE '' END END"
+_NUMBER = "coalesce(printf('%.{1}f', {0}) || '{2}', '')"
+_TEXTS = {c: f"coalesce(cast({c} AS varchar), '')" for c in ("patient_id", "series_number", "series_description", "modality", "radiopharmaceutical")}
+_TEXTS |= {c: _DATE.format(c) for c in ("patient_birth_date", "study_date", "acquisition_date", "injection_date")}
+_TEXTS |= {c: _TIME.format(c) for c in ("study_time", "acquisition_time", "injection_time")}
+_TEXTS |= {
+    "patient_name": "coalesce(array_to_string(list_filter(string_split(patient_name, '^'), lambda x: x <> ''), ' '), '')",
+    "patient_weight": _NUMBER.format("patient_weight", 2, " kg"),
+    "patient_size": _NUMBER.format("patient_size", 2, " m"),
+    "injected_activity": _NUMBER.format("mbq", 2, " MBq"),
+    "half_life": _NUMBER.format("half_life", 2, " s"),
+    "dose_per_kg": _NUMBER.format("dose_per_kg", 2, " MBq/kg"),
+    "bmi": _NUMBER.format("bmi", 1, ""),
+    "uptake_delay": "CASE WHEN uptake_delay IS NULL THEN '' WHEN uptake_delay < 60 THEN printf('%.1f minutes', uptake_delay) WHEN uptake_delay < 1440 THEN printf('%.1f hours (%.0f min)', uptake_delay / 60, uptake_delay) ELSE printf('%.1f days (%.0f min)', uptake_delay / 1440, uptake_delay) END",
+}
+_EXPORT_ALL = _EXPORT.replace("patient_id, patient_sex, study_date, series_number, modality,", "b.* EXCLUDE (study_instance_uid, dose_per_kg),").replace("SELECT *, CASE WHEN delay_signed >= 0", "SELECT *, NULL AS dose_per_kg, CASE WHEN delay_signed >= 0")
+_LABEL, _FLAG = "'COLL-' || cast(number_of_slices % 15 AS varchar)", "unhex(printf('%02x00', number_of_slices))"
+_SHOWN = "CASE WHEN number_of_slices IN (9, 10, 13, 32) THEN '' WHEN number_of_slices BETWEEN 33 AND 126 THEN chr(number_of_slices) END"
+_PRIVATE = f"""SELECT file_path, '0013' AS group_hex, e.element_hex, 'CTP' AS creator, CASE e.element_hex WHEN '1010' THEN {_LABEL} WHEN '1013' THEN patient_id ELSE {_SHOWN} END AS value_text,
+  cast(CASE WHEN e.element_hex = '1015' AND number_of_slices BETWEEN 48 AND 57 THEN number_of_slices - 48 END AS double) AS value_num, CASE WHEN e.element_hex = '1015' AND ({_SHOWN}) IS NULL THEN printf('%02x00', number_of_slices) END AS value_hex,
+  CASE e.element_hex WHEN '1010' THEN sha256({_LABEL}) WHEN '1013' THEN sha256(patient_id) ELSE sha256({_FLAG}) END AS value_hash, 'pipeline_provenance' AS classification FROM files CROSS JOIN (VALUES ('1010'), ('1013'), ('1015')) e(element_hex)"""
+_MISSING = {
+    "weight": "patient_weight IS NULL",
+    "dose": "injected_activity IS NULL AND tracer_study",
+    "injection_time": "injection_time IS NULL AND tracer_study",
+    "acquisition_time": "acquisition_time IS NULL",
+    "radiopharmaceutical": "NOT (radiopharm AND radiopharmaceutical IS NOT NULL) AND tracer_study",
+    "patient_sex": "patient_sex IS NULL",
+    "patient_age": "patient_age IS NULL AND patient_birth_date IS NULL",
+}
+_DOSES = {
+    "missing_activity": "weight_best IS NOT NULL AND injected_activity IS NULL",
+    "missing_weight": "weight_best IS NULL AND injected_activity IS NOT NULL",
+    "unit_mismatch": "dose_plausible < 0.1 OR dose_plausible > 50",
+    "outlier": "dose_sd > 0 AND abs(dose_plausible - dose_mean) > 3 * dose_sd",
+}
+_MADE_OF = {"missing_ct": "has_pt AND NOT has_ct", "missing_pt": "has_ct AND NOT has_pt", "high_series": "series_count > 20"}
+
+
+def _issues(source: str, issues: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS issue, study_instance_uid FROM {source} WHERE ({v})" for k, v in issues.items())
+
+
 TAILS = {
+    "missing_issues": _issues("(SELECT rep.*, tracer_study FROM rep JOIN studies USING (study_instance_uid))", _MISSING),
+    "timing_issues": _issues("rep", {k: f"status = '{k}'" for k in ("missing", "parse_fail", "negative", "too_long", "ok")} | {"study_time_conflict": "conflict"}),
+    "dose_issues": _issues("(SELECT * FROM rep, spread WHERE radiopharm)", _DOSES),
+    "composition_issues": _issues("studies", _MADE_OF),
+    "export_text": f", e AS ({_EXPORT_ALL}) SELECT study, place, {', '.join(f'{v} AS {k}' for k, v in _TEXTS.items())} FROM e",
+    "private_decode": _PRIVATE,
+    "payload_fingerprint": f", p AS ({_PRIVATE}) SELECT file_path, sha256(string_agg(creator || '|' || group_hex || '|' || element_hex || '|' || value_hash, chr(10) ORDER BY element_hex)) AS fingerprint FROM p GROUP BY 1",
+    "series_lookup": "SELECT file_path, series_instance_uid, modality FROM series WHERE series_instance_uid = '1.2.840.1.1'",
+    "study_export_info": "SELECT study_instance_uid, max(patient_weight) AS patient_weight, max(patient_size) AS patient_size, max(study_date) AS study_date, max(study_time) AS study_time, max(patient_name) AS patient_name FROM series GROUP BY 1",
+    "json_dump": "SELECT file_path, series_instance_uid, modality, coalesce(n, 0) AS n_tags FROM series LEFT JOIN (SELECT file_path, count(*) AS n FROM tags GROUP BY 1) USING (file_path)",
+    "ctp_demographics": _DEMOGRAPHICS + " UNION ALL SELECT 'ctp flagged', count(*) FROM studies",
+    "newest_first": "SELECT study_instance_uid, row_number() OVER (ORDER BY max(study_date) DESC NULLS LAST, max(study_time) DESC NULLS LAST, study_instance_uid) AS place FROM by_modality GROUP BY 1",
     "dedup_series": "SELECT file_path, series_instance_uid, study_instance_uid, modality FROM series",
     "dedup_tags": "SELECT series_instance_uid, group_hex, element_hex, creator, classification FROM classed SEMI JOIN series USING (file_path)",
     "representative_ingest": "SELECT study_instance_uid, series_instance_uid, score, round(delay_signed, 6) AS delay_minutes, round(dose_ingest, 6) AS dose_per_kg FROM ingest",
@@ -164,7 +220,7 @@ SELECT scan_id, count(*) FILTER (WHERE fresh) AS processed, count(*) FILTER (WHE
     "timing_integrity": _rows("rep", {k: _count(f"status = '{k}'") for k in ("missing", "parse_fail", "negative", "too_long", "ok")} | {"study_time_conflict": _count("conflict")}),
     "dose_plausibility": _rows("rep, spread WHERE radiopharm", {"total": "count(*)", "mean": "round(max(dose_mean), 6)", "sd": "round(max(dose_sd), 6)", "outliers": _count("dose_sd > 0 AND abs(dose_plausible - dose_mean) > 3 * dose_sd"), "unit_mismatch": _count("dose_plausible < 0.1 OR dose_plausible > 50"), "weight_without_activity": _count("weight_best IS NOT NULL AND injected_activity IS NULL"), "activity_without_weight": _count("weight_best IS NULL AND injected_activity IS NOT NULL")}, "value", "double"),
     "qa_score_distribution": "SELECT cast(s AS int) AS score, count(qa_score) AS n FROM unnest(range(6)) r(s) LEFT JOIN qa ON qa_score = s GROUP BY 1",
-    "study_composition": _rows("studies", {"missing_ct": _count("has_pt AND NOT has_ct"), "missing_pt": _count("has_ct AND NOT has_pt"), "high_series": _count("series_count > 4")}),
+    "study_composition": _rows("studies", {"missing_ct": _count("has_pt AND NOT has_ct"), "missing_pt": _count("has_ct AND NOT has_pt"), "high_series": _count("series_count > 20")}),
     "scanner_landscape": "SELECT coalesce(manufacturer, 'Unknown') AS manufacturer, coalesce(manufacturer_model_name, 'Unknown') AS model, coalesce(software_version, 'Unknown') AS software, count(*) AS n, count(DISTINCT csa_series_header_hash) AS unique_csa FROM rep GROUP BY 1, 2, 3",
     "protocol_radiopharm": ", c AS (SELECT radiopharmaceutical, csa_series_header_hash AS h, count(*) AS k FROM rep WHERE radiopharmaceutical <> '' GROUP BY 1, 2) SELECT radiopharmaceutical, cast(sum(k) AS bigint) AS n, count(h) AS unique_csa, first(h ORDER BY h IS NULL, k DESC, h) AS top_csa, coalesce(max(k) FILTER (WHERE h IS NOT NULL), 0) AS top_count FROM c GROUP BY 1",
     "derived_objects": _rows("rep", {"SEG": _count("modality = 'SEG'"), "RTSTRUCT": _count("modality = 'RTSTRUCT'"), "highdicom": _count("contains(lower(manufacturer), 'highdicom')"), "qiicr": _count("contains(lower(manufacturer), 'qiicr')")}),
@@ -184,12 +240,9 @@ SELECT x.study_instance_uid, series_instance_uid, file_path, modality, round(nul
     "export_grouped": f", e AS ({_EXPORT}) SELECT study, place, CASE WHEN place > 1 AND patient_id IS NOT DISTINCT FROM first(patient_id) OVER w THEN '' ELSE coalesce(patient_id, '') END AS patient_id, CASE WHEN place > 1 AND coalesce(patient_sex, '') = coalesce(first(patient_sex) OVER w, '') THEN '' ELSE coalesce(patient_sex, '') END AS patient_sex, coalesce(cast(series_number AS varchar), '') AS series_number, coalesce(modality, '') AS modality FROM e WINDOW w AS (PARTITION BY study ORDER BY place)",
     "export_sectioned": f", e AS ({_EXPORT}) SELECT study, place, '' AS patient_id, coalesce(cast(series_number AS varchar), '') AS series_number, coalesce(modality, '') AS modality FROM e UNION ALL SELECT study, 0, coalesce(patient_id, ''), '', '' FROM e WHERE place = 1",
     "parse_headers": "SELECT file_path, patient_id, patient_weight, study_instance_uid, study_date, series_instance_uid, series_number, modality, manufacturer, acquisition_time, injection_time, radiopharmaceutical, injected_activity, half_life, ctdivol, number_of_slices FROM files",
-    "tag_rows": "SELECT file_path, group_hex, element_hex, creator, value_text, value_hex, sha256(coalesce(value_text, unhex(value_hex)::blob::varchar)) AS value_hash, classification FROM classed WHERE false",
     "csa_elements": "SELECT file_path, 'CsaSeriesHash' AS name, 'LO' AS vr, 1::bigint AS vm, 0 AS pos, csa_series_header_hash AS value FROM files WHERE csa_series_header_hash IS NOT NULL UNION ALL SELECT file_path, 'Slices', 'IS', 2::bigint, p, CASE p WHEN 0 THEN cast(number_of_slices AS varchar) ELSE modality END FROM files CROSS JOIN (VALUES (0), (1)) v(p) WHERE csa_series_header_hash IS NOT NULL AND NOT (p = 1 AND modality IS NULL)",
     "expand_archive": "SELECT study_instance_uid || '.zip' AS archive, replace(file_path, '/', '_') AS member, series_number FROM files",
     "stream_ingest": "SELECT file_path, series_instance_uid FROM series",
     "ctp_columns": "SELECT file_path, 'COLL-' || cast(number_of_slices % 15 AS varchar) AS ctp_collection, patient_id AS ctp_subject_id, number_of_slices AS ctp_private_flag_int FROM files",
 }
-TAILS.pop("tag_rows")
-
-ORACLE = {name: (BASE + tail).replace("round_even(delay_minutes, 1)", "round_even(delay_minutes, 1)") for name, tail in TAILS.items()}
+ORACLE = {name: BASE + tail for name, tail in TAILS.items()}

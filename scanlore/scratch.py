@@ -71,6 +71,10 @@ class Scratch:
         self.paths = []
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again; ``release`` deletes it."""
-    return Scratch(df.sparkSession).save(df, name)
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write and read again; ``release`` deletes it unless it is to be kept."""
+    own = Scratch(df.sparkSession)
+    found = own.save(df, name)
+    if keep:
+        _written.remove(own.paths[0])
+    return found

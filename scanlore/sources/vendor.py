@@ -69,10 +69,15 @@ def csa_elements(payloads: DataFrame) -> DataFrame:
     return payloads.select("file_path", "value_bytes").mapInPandas(run, "file_path string, name string, vr string, vm long, pos int, value string")
 
 
-def csa_json(elements: DataFrame) -> DataFrame:
-    """file_path and the elements as JSON text, values nested by name."""
+def csa_json(elements: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """file_path and the elements as JSON text, values nested by name; with ``payloads`` the format and the number of elements stand beside them."""
     named = elements.groupBy("file_path", "name", "vr", "vm").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
-    return named.groupBy("file_path").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("vr", "vm", "values")))))).alias("elements"))
+    held = named.groupBy("file_path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("vr", "vm", "values"))))).alias("elements"))
+    if payloads is None:
+        return held.select("file_path", F.to_json("elements").alias("elements"))
+    kind = F.when(F.substring("value_bytes", 1, 4) == F.lit(b"SV10"), "CSA2").otherwise("CSA1")
+    whole = F.struct("format", F.size("elements").alias("element_count"), "elements")
+    return held.join(payloads.select("file_path", kind.alias("format")), "file_path").select("file_path", F.to_json(whole).alias("elements"))
 
 
 def csa_hash(payloads: DataFrame) -> DataFrame:

@@ -16,37 +16,42 @@ def stream_series(spark: SparkSession, root: str, pattern: str = "*.dcm") -> Dat
     return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
 
 
-def append_new(batch: DataFrame, path: str) -> None:
-    """Append a batch's series that are not stored yet. The stored keys are read once for each batch; running it again adds nothing."""
-    spark = batch.sparkSession
-    series = headers.wide_projection(headers.parse_headers(headers.junk_path_filter(batch)))
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table so far; before the first batch it has no rows."""
     try:
-        stored = spark.read.parquet(path)
-    except Exception as problem:  # the table does not exist before the first batch
+        return spark.read.parquet(path)
+    except Exception as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
-        stored = series.limit(0)
-    fresh = store.new_series(store.skip_existing_paths(series, stored), stored)
-    fresh.write.mode("append").parquet(path)
+        return like.limit(0)
+
+
+def append_new(batch: DataFrame, path: str) -> None:
+    """Append a batch's series that are not stored yet. The stored keys are read once for each batch; running it again adds nothing."""
+    append_rows(headers.wide_projection(headers.parse_headers(headers.junk_path_filter(batch))), path)
+
+
+def append_rows(series: DataFrame, path: str) -> None:
+    """The same for rows that are series already. Files that are stored are passed over by their path, which also holds for those without a series.
+
+    Of two batches the one that came first gives a series its file, whatever the paths.
+    """
+    stored = _stored(series.sparkSession, path, series)
+    store.new_series(store.skip_existing_paths(series, stored), stored).write.mode("append").parquet(path)
+
+
+def ingest_stream(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Read what has come since the checkpoint from a stream of (path, content), batch by batch, and stop."""
+    writing = found.writeStream.foreachBatch(lambda batch, _: append_new(batch, path))
+    return writing.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_ingest(spark: SparkSession, root: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Read all files that are there, batch by batch, and stop."""
-    found = stream_series(spark, root).writeStream.foreachBatch(lambda batch, _: append_new(batch, path))
-    return found.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Read all header files that are below ``root``."""
+    return ingest_stream(stream_series(spark, root), path, checkpoint)
 
 
 def stream_table(spark: SparkSession, source: str, schema, path: str, checkpoint: str) -> StreamingQuery:
     """The same over a folder of Parquet files that hold series rows."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            stored = batch.limit(0)
-        store.new_series(batch, stored).write.mode("append").parquet(path)
-
-    found = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(append)
+    found = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(lambda batch, _: append_rows(batch, path))
     return found.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
