@@ -189,7 +189,7 @@ def dose_plausibility(rep: DataFrame) -> DataFrame:
 
 def qa_score_distribution(rep: DataFrame) -> DataFrame:
     """score, n for 0 to 5, zeros too."""
-    counted = filters.with_qa_score(rep).groupBy(F.col("qa_score").alias("score")).agg(F.count("*").alias("n"))
+    counted = filters.qa_score_counts(rep)
     scores = rep.sparkSession.range(6).select(F.col("id").cast("int").alias("score"))
     return scores.join(counted, "score", "left").na.fill(0, ["n"])
 

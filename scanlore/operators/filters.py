@@ -111,18 +111,29 @@ def majority_csa(rep: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("n"), "csa_series_header_hash").limit(1).select(F.col("csa_series_header_hash").alias("majority"))
 
 
+def _own_points() -> Column:
+    """The points that a representative has by itself, 0 to 4."""
+    status = s.delay_status(signed="delay_signed")
+    points = [s.number("patient_weight").isNotNull(), s.number("injected_activity").isNotNull(), status.isin("ok", "too_long"), (status == "ok") & ~s.time_conflict()]
+    return sum((p.cast("int") for p in points[1:]), points[0].cast("int"))
+
+
+def _has_majority() -> Column:
+    return F.coalesce(F.col("csa_series_header_hash") == F.col("majority"), F.lit(False)).cast("int")
+
+
 def with_qa_score(rep: DataFrame) -> DataFrame:
     """qa_score 0 to 5: weight, activity, a delay that can be told, a plausible one without conflict, the common vendor hash."""
-    status = s.delay_status(signed="delay_signed")
-    points = [
-        s.number("patient_weight").isNotNull(),
-        s.number("injected_activity").isNotNull(),
-        status.isin("ok", "too_long"),
-        (status == "ok") & ~s.time_conflict(),
-        F.coalesce(F.col("csa_series_header_hash") == F.col("majority"), F.lit(False)),
-    ]
     top = majority_csa(rep).agg(F.max("majority").alias("majority"))  # one row, null when there is none
-    return rep.crossJoin(F.broadcast(top)).withColumn("qa_score", sum((p.cast("int") for p in points[1:]), points[0].cast("int"))).drop("majority")
+    return rep.crossJoin(F.broadcast(top)).withColumn("qa_score", _own_points() + _has_majority()).drop("majority")
+
+
+def qa_score_counts(rep: DataFrame) -> DataFrame:
+    """score, n: as ``with_qa_score`` gives them, from one pass over the representatives counted by own points and vendor hash."""
+    counted = rep.groupBy(_own_points().alias("own"), "csa_series_header_hash").agg(F.count("*").alias("n"))
+    hashes = counted.filter(s.filled("csa_series_header_hash")).groupBy("csa_series_header_hash").agg(F.sum("n").alias("n"))
+    top = hashes.orderBy(F.desc("n"), "csa_series_header_hash").limit(1).agg(F.max("csa_series_header_hash").alias("majority"))  # one row
+    return counted.crossJoin(F.broadcast(top)).groupBy((F.col("own") + _has_majority()).alias("score")).agg(F.sum("n").alias("n"))
 
 
 def qa_score_filter(rep: DataFrame, score: int) -> DataFrame:
