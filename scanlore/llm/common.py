@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from ..scratch import Scratch, release, save, scratch_dir, scratch_path  # noqa:
 #: Rows that may be broadcast when their count has been taken first (8 to 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,8 @@ def ddl(df: DataFrame) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's bound on an Arrow batch, so that texts do not reach a worker by tens of megabytes."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).rstrip("b") or 0) <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
@@ -72,7 +74,7 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def matched(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
 
     Groups are broadcast when there are ``most`` at most. Else those that hold
@@ -83,8 +85,9 @@ def matched(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str, most
     if count <= most:
         return rows.join(F.broadcast(groups), key, how)
     hot = groups.filter(F.col(n) > F.lit(total // most))
-    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, how)
-    return apart.unionByName(rows.join(F.broadcast(hot), key, "inner" if how == "left" else how))
+    keys = [key] if isinstance(key, str) else key
+    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys, how)
+    return apart.unionByName(rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how))
 
 
 def reduced(docs: DataFrame, named: DataFrame, key: str, mark: Column) -> DataFrame:

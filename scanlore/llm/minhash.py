@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept_by_worker, map_batches, mix64, reduced, save, slices, small, unit, utf8
+from .common import Scratch, kept_by_worker, map_batches, matched, mix64, reduced, save, slices, small, unit, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -54,6 +54,8 @@ BLOCK_BYTES = 1 << 20
 LONG_WORD = 1024
 #: Numbers drawn at once.
 DRAWN = 1 << 19
+#: Buckets that may be broadcast.
+BROADCAST_BUCKETS = 10_000
 #: Bytes of texts' shingles that a task comparing pairs keeps.
 HELD_BYTES = 16 << 20
 
@@ -310,12 +312,12 @@ def _joined(root: DataFrame, edges: DataFrame, tmp: Scratch) -> DataFrame:
     return tmp.save(old.unionByName(moved.join(root.select("node"), "node", "left_anti")), "roots")
 
 
-def _pivots(members: DataFrame, order) -> DataFrame:
-    """Pairs of each member with the first of its bucket in the given order."""
-    ordered = members.withColumn("order", order)
-    first = ordered.groupBy("band", "bucket").agg(F.min("order").alias("order"))
-    pivots = ordered.join(first, ["band", "bucket", "order"]).select("band", "bucket", *(F.col(c).alias(f"pivot_{c}") for c in members.columns if c not in ("band", "bucket")))
-    return members.join(pivots, ["band", "bucket"]).filter(F.col("row") != F.col("pivot_row"))
+def _pivots(members: DataFrame, order, tmp: Scratch) -> DataFrame:
+    """Pairs of each member with the first of its bucket in the given order; the largest buckets' firsts are broadcast."""
+    own = [c for c in members.columns if c not in ("band", "bucket")]
+    first = members.groupBy("band", "bucket").agg(F.min(F.struct(order.alias("order"), *own)).alias("first"), F.count("*").alias("n"))
+    first = tmp.save(first.filter("n > 1").select("band", "bucket", "n", *(F.col(f"first.{c}").alias(f"pivot_{c}") for c in own)), "pivots")
+    return matched(members, first, ["band", "bucket"], "n", "inner", BROADCAST_BUCKETS).filter(F.col("row") != F.col("pivot_row"))
 
 
 def _tokens(texts: DataFrame) -> DataFrame:
@@ -404,7 +406,7 @@ def _roots(docs: DataFrame, some: DataFrame, key: str, text: str, tmp: Scratch)
     buckets = rows.select("row", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # texts alone in all their buckets have no part in what follows
-    members = tmp.save(buckets.join(shared.select("band", "bucket"), ["band", "bucket"]), "buckets")
+    members = tmp.save(matched(buckets, tmp.save(shared, "shared"), ["band", "bucket"], "n", "left_semi", BROADCAST_BUCKETS), "buckets")
     involved = tmp.save(rows.join(members.select("row").distinct(), "row", "left_semi").select("first", "row", "n_shingles"), "involved")
     wanted = small(involved.select(F.col("first.id").alias("of_id"), F.col("first.text_hash").alias("of_hash"), "row", "n_shingles"), involved.count())
     sources = docs.select(F.col(key).alias("id"), utf8(text).alias("utf8"))
@@ -416,7 +418,7 @@ def _roots(docs: DataFrame, some: DataFrame, key: str, text: str, tmp: Scratch)
 
     # first with one pivot of each bucket, whatever it is
     near_size = F.least("n_shingles", "pivot_n_shingles") >= SIMILARITY * F.greatest("n_shingles", "pivot_n_shingles")
-    looked = tmp.save(named(_pivots(members, F.xxhash64("row")).filter(near_size), "row", "pivot_row"), "pairs")
+    looked = tmp.save(named(_pivots(members, F.xxhash64("row"), tmp).filter(near_size), "row", "pivot_row"), "pairs")
     root = components(tmp.save(_verify(looked, texts), "near"), tmp)
 
     # then, in buckets that hold several classes, with the text whose shingles are most common
@@ -425,7 +427,7 @@ def _roots(docs: DataFrame, some: DataFrame, key: str, text: str, tmp: Scratch)
     n_rows = rest.count()
     prefixes, common = _prefixes(texts, rest, n_rows, tmp)
     order = -(F.col("common") * 1024).cast("long") * (1 << 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))
-    pairs = named(_pivots(mixed.join(small(common, n_rows), "row"), order).filter(near_size & (F.col("root") != F.col("pivot_root"))), "row", "pivot_row")
+    pairs = named(_pivots(tmp.save(mixed.join(small(common, n_rows), "row"), "mixed"), order, tmp).filter(near_size & (F.col("root") != F.col("pivot_root"))), "row", "pivot_row")
     rounds = 0
     while True:
         pairs = tmp.save(pairs.join(looked, ["a", "b"], "left_anti"), "pairs")
