@@ -11,9 +11,11 @@ def dedup_series(files: DataFrame) -> DataFrame:
 
     Spark limits each series to its first row before the shuffle as well as
     behind it, so one with very many files leaves each task as one row, and
-    columns that are not asked for are not read.
+    columns that are not asked for are not read. Of rows that repeat a path the
+    one with the fewest slices stays, so reruns agree.
     """
-    order = Window.partitionBy(F.coalesce("series_instance_uid", "file_path")).orderBy("file_path")
+    ties = [c for c in ("number_of_slices",) if c in files.columns]
+    order = Window.partitionBy(F.coalesce("series_instance_uid", "file_path")).orderBy("file_path", *ties)
     return files.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
 
 
