@@ -160,10 +160,10 @@ def format_chats(conversations: DataFrame, path: str, pattern: str, budget: int
     kind = dict(turns.dtypes)["conv_id"]
     fields = [("window", pa.int32()), ("text", pa.string()), ("n_repeated", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("n_tokens", pa.int64())]
 
+    opened, turn, close = encoder(path, pattern).count_all([x.encode() for x in (BEGIN + TURN, TURN, CLOSE)])
+    marks = opened - turn + close
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        opened, turn, close = enc.count_all([x.encode() for x in (BEGIN + TURN, TURN, CLOSE)])
-        marks = opened - turn + close
         current: _Conversation | None = None
         schema = None
         for batch in batches:

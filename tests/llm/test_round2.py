@@ -98,7 +98,9 @@ def _plain_lines(html):
     return [x.strip(" ") for x in text.split("\n") if x.strip(" ")]
 
 
-def test_lines_are_those_of_the_patterns(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_lines_are_those_of_the_patterns(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW_OPENED", few)
     pick = random.Random(3)
     parts = ["<!--", "-->", "<script>", "</script >", "<SCRIPT a='>'", "<style>", "</style>", "</script", "<p>", "</p", "<b>", "<b ", "<div class=x", ">", "<", "text ", "\n", "&lt;", "&amp;amp;", "﷐", "x>y", "<br/>", "<scripts>", "<!-->", "--"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 20))) for _ in range(3000)] + [None, ""]
