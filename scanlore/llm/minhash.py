@@ -380,9 +380,10 @@ def _across(prefixes: DataFrame, roots: DataFrame, n_rows: int, heads: bool, tmp
 
 def _mixed(members: DataFrame, root: DataFrame, tmp: Scratch) -> DataFrame:
     """Members of buckets that hold two classes or more."""
-    named = members.join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    spread = named.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return tmp.save(named.join(spread.select("band", "bucket"), ["band", "bucket"]), "mixed")
+    named = tmp.save(members.join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "named")
+    spread = named.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
+    spread = tmp.save(spread.select("band", "bucket", "n"), "spread")
+    return tmp.save(matched(named, spread, ["band", "bucket"], "n", "left_semi", BROADCAST_BUCKETS), "mixed")
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
