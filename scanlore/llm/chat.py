@@ -55,13 +55,15 @@ _turns = regex.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", regex.S)
 
 def escape(text: str) -> str:
     text = text.replace("\\", "\\\\")
+    if "<" not in text and "[" not in text and "|" not in text:  # every control string has one of these
+        return text
     while (broken := _control.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)) != text:
         text = broken
     return text
 
 
 def unescape(text: str) -> str:
-    return regex.sub(r"\\(\\?)", r"\1", text)
+    return regex.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
 
 
 def render(role: str, text: str) -> str:
