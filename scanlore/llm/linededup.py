@@ -87,24 +87,22 @@ def _without_hidden(text: Column) -> Column:
     return _let(text, of)
 
 
-def _tags_replaced(text: Column, opener: str, by: str) -> Column:
-    """``text`` with all that goes from ``opener`` to the next > replaced, looked for between each two of these."""
+def _tags_replaced(text: Column, pattern: str, by: str) -> Column:
+    """``text`` with what ``pattern`` says, which ends in >, replaced; it is not looked for behind the last >, where every search would run to the end in vain."""
 
-    def of(parts: Column) -> Column:
-        def one(part: Column) -> Column:
-            return F.when(F.regexp_like(part, F.lit(opener)), F.regexp_replace(part, opener + "[^>]*", by)).otherwise(F.concat(part, F.lit(">")))
+    def of(text: Column) -> Column:
+        def apart(tail: Column) -> Column:
+            return F.concat(F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), pattern, by), tail)
 
-        # the last part has no > behind it
-        closed = F.transform(F.slice(parts, 1, F.size(parts) - 1), one)
-        return F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
+        return _let(F.substring_index(text, ">", -1), apart)
 
-    return _let(F.split(text, ">"), of)
+    return _let(text, of)
 
 
 def lines(html: Column) -> Column:
     text = _without_hidden(F.coalesce(html, F.lit("")))
-    text = _tags_replaced(F.translate(text, "\t\r\x0b\x0c", "    "), BLOCKS.removesuffix("[^>]*>"), "\n")
-    text = _tags_replaced(text, "<", "")
+    text = _tags_replaced(F.translate(text, "\t\r\x0b\x0c", "    "), BLOCKS, "\n")
+    text = _tags_replaced(text, TAGS, "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
