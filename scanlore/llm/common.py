@@ -14,6 +14,8 @@ from ..scratch import Scratch, release, save, scratch_dir, scratch_path  # noqa:
 
 #: Rows that may be broadcast when their count has been taken first (8 to 16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast when they have been summed first, and what a row takes besides its texts.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 #: Bytes of an Arrow batch on its way to Python.
 BATCH_BYTES = 4 << 20
 
@@ -74,6 +76,15 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def light(df: DataFrame, *texts: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when the rows with the bytes of their text columns were summed and are within ``most``; reads ``df``, a written table, once more."""
+    each = F.lit(ROW_BYTES)
+    for c in texts:
+        each = each + F.coalesce(F.octet_length(c), F.lit(0))
+    held = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, linededup, minhash, mixing, quality, tokencount, toxicity
+from . import ann, bpe, chat, divergence, exact, linededup, minhash, mixing, quality, tokencount, toxicity
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pruned_graph": op1_pruned_graph,
     "op2_toxicity": op2_toxicity,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
