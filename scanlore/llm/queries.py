@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, divergence, exact, linededup, minhash, mixing, quality, tokencount, toxicity
+from . import ann, bpe, chat, divergence, exact, leaks, linededup, minhash, mixing, quality, resample, tokencount, toxicity
 from .common import table
 
 
@@ -66,6 +66,14 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -88,5 +98,6 @@ ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
+    "op11_benchmark_decontamination": leaks.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
