@@ -99,5 +99,6 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": linededup.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
     "op11_benchmark_decontamination": leaks.ORACLE,
+    "op12_importance_resampling": resample.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }

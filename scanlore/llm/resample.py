@@ -269,3 +269,25 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
         rank = F.col("before") + F.col("nth")
         found = rows.select(F.col("id").alias(key), "n_features", "weight", "score", F.when(rank <= drawn, rank).alias("rank"))
         return save(found, "resampled")
+
+
+ORACLE = r"""
+WITH RECURSIVE b(i, n, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE n < 8),
+table_ AS (SELECT list(c ORDER BY i) AS steps FROM b WHERE n = 8),
+x AS (SELECT 0 AS target, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT target, r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM x),
+f AS (SELECT target, r, array_to_string(w[p:p + k - 1], ' ') AS f FROM (SELECT target, r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w CROSS JOIN (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+c AS (SELECT target, r, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS hex FROM (SELECT DISTINCT f FROM c)),
+u AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, cast(length(hex) / 2 AS integer) + 1), lambda i: ('0x' || substr(hex, cast(2 * i - 1 AS integer), 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, table_),
+k AS (SELECT target, r, bucket, sum(n) AS n FROM c JOIN u USING (f) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE target = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE target = 1), 0)::DOUBLE AS t FROM k GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000))))::BIGINT AS gain FROM s),
+v AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM k JOIN g USING (bucket) WHERE target = 0 GROUP BY r),
+d AS (SELECT r, doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('42:' || coalesce(cast(doc_id AS varchar), '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN v USING (r) WHERE target = 0),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+o AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id ASC NULLS LAST, n_features) END AS place, count(*) FILTER (WHERE fit) OVER () * 5 // 100 AS drawn FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM o
+"""
