@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 from io import BytesIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dashboard, detail, export, filters, private_tags, representative, store, studies
 from .plans import inputs, oracle
-from .sources import archives, headers, vendor
+from .sources import archives, headers, ranges, vendor
 from .scratch import save, scratch_path
 from .streaming import ingest
 
@@ -147,9 +148,44 @@ def archive_files(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, "archive-files", d, make)
 
 
+HEADER_COLUMNS = ["patient_id", "patient_weight", UID, "study_date", "series_instance_uid", "series_number", "modality", "manufacturer", "acquisition_time", "injection_time", "radiopharmaceutical", "injected_activity", "half_life", "ctdivol", "number_of_slices"]
+
+
 def parse_headers(spark: SparkSession, d: str) -> DataFrame:
-    wide = headers.wide_projection(headers.parse_headers(header_files(spark, d)))
-    return wide.select("file_path", "patient_id", "patient_weight", UID, "study_date", "series_instance_uid", "series_number", "modality", "manufacturer", "acquisition_time", "injection_time", "radiopharmaceutical", "injected_activity", "half_life", "ctdivol", "number_of_slices")
+    return headers.parse_wide(header_files(spark, d), columns=HEADER_COLUMNS).filter("error IS NULL").drop("error")
+
+
+def _loose_files(spark: SparkSession, d: str) -> str:
+    """A folder with every header as a file of its own, followed by pixels; those of CUT_SLICES slices lack their last byte."""
+    root = scratch_path(spark, "loose-headers")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = ranges.file_system(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{inner}/{path.rpartition('/')[0]}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{inner}/{path}") as out:
+                    out.write(content[:-1] if cut else content + PIXEL_HEAD + bytes(256))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    cut = inputs.files(spark, d).select(F.col("file_path").alias("path"), (F.col("number_of_slices") == CUT_SLICES).alias("cut")).dropDuplicates(["path"])
+    header_files(spark, d).join(cut, "path").select("path", "content", "cut").mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return root
+
+
+CUT_SLICES = 11
+PIXEL_HEAD = struct.pack("<HH2sHI", 0x7FE0, 0x10, b"OW", 0, 256)
+
+
+def scan_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The data source over real files: readable ones with some columns, others with what is wrong."""
+    root = _loose_files(spark, d)
+    found = headers.scan_headers(spark, root, columns=["series_instance_uid", "modality", "injected_activity", "number_of_slices"])
+    return found.withColumn("file_path", headers.relative_path(F.col("file_path"), ranges.file_system(root)[1]))
 
 
 def ctp_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -184,10 +220,52 @@ def expand_archive(spark: SparkSession, d: str) -> DataFrame:
     """A ZIP for each study, taken apart and read."""
     found = archives.expand_archive(archive_files(spark, d))
     named = found.withColumn("name", F.concat_ws("/", "archive", "member"))
-    wide = headers.wide_projection(headers.parse_headers(named, "name"))
+    wide = headers.parse_wide(named, "name", columns=["series_number"]).filter("error IS NULL")
     return wide.select(F.split("file_path", "/")[0].alias("archive"), F.split("file_path", "/")[1].alias("member"), "series_number")
 
 
+#: Studies whose headers share an archive, and what goes wrong with members of so many slices.
+ARCHIVE_STUDIES = 4096
+DAMAGED = {13: "damaged", 17: "encrypted"}
+
+
+def _archives_on_disk(spark: SparkSession, d: str) -> str:
+    """A folder of ZIP files, each of the headers of many studies, deflated; some members are encrypted or damaged."""
+    root = scratch_path(spark, "archives")
+
+    def write(own: pd.DataFrame) -> pd.DataFrame:
+        system, inner = ranges.file_system(root)
+        system.create_dir(inner, recursive=True)
+        out, spoilt = BytesIO(), []
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content, slices in zip(own["path"], own["content"], own["number_of_slices"], strict=True):
+                archive.writestr(name, bytes(content))
+                if slices in DAMAGED:
+                    spoilt.append((archive.infolist()[-1], DAMAGED[slices]))
+                    if DAMAGED[slices] == "encrypted":
+                        archive.infolist()[-1].flag_bits |= archives.ENCRYPTED
+        data = bytearray(out.getvalue())
+        for x, how in spoilt:
+            if how == "damaged":
+                start = x.header_offset + archives.LOCAL_HEAD.size + len(x.filename)
+                data[start : start + x.compress_size] = b"\xff" * x.compress_size
+        with system.open_output_stream(f"{inner}/{own['part'].iloc[0]}.zip") as file:
+            file.write(bytes(data))
+        return pd.DataFrame({"n": [len(own)]})
+
+    named = inputs.files(spark, d).select(F.col("file_path").alias("path"), "number_of_slices", F.floor(F.element_at(F.split(UID, r"\."), 4).cast("long") / ARCHIVE_STUDIES).alias("part")).dropDuplicates(["path"])
+    header_files(spark, d).join(named, "path").groupBy("part").applyInPandas(write, "n long").agg(F.sum("n")).first()
+    return root
+
+
+def scan_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Headers out of archives on disk: the directory by a range, each member by its own; members that cannot be read with what is wrong."""
+    members = archives.archive_members(spark, _archives_on_disk(spark, d))
+    found = archives.member_headers(members, ["series_instance_uid", "series_number"])
+    wrong = F.when(F.startswith("error", F.lit("broken deflate data")), "damaged").otherwise(F.col("error"))
+    return found.select(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive"), "member", "series_instance_uid", "series_number", wrong.alias("error"))
+
+
 PARTS = 3
 
 
@@ -299,11 +377,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_sectioned": _of_series(lambda x: export.sectioned(export.export_text(x, ["patient_id", "series_number", "modality"]))),
     "export_text": _of_series(lambda x: export.export_text(x, [*export.DEFAULTS, "uptake_delay", "dose_per_kg", "bmi", "half_life"])),
     "parse_headers": parse_headers,
+    "scan_headers": scan_headers,
     "ctp_columns": ctp_columns,
     "private_decode": private_decode,
     "payload_fingerprint": payload_fingerprint,
     "csa_elements": csa_elements,
     "expand_archive": expand_archive,
+    "scan_archives": scan_archives,
     "stream_ingest": stream_ingest,
 }
 
