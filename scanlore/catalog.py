@@ -206,14 +206,43 @@ def payload_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return private_tags.payload_fingerprint(_tag_rows(spark, d))
 
 
-def csa_elements(spark: SparkSession, d: str) -> DataFrame:
+def creator_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks whose creator is named again inside a sequence: by an empty text, by another name, or not at all."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for n in batch["number_of_slices"]:
+                again = [[(0x00190010, "LO", "NEST" if n % 3 else " ")]] if n % 3 < 2 else []
+                made.append(headers.write_header([(0x00190010, "LO", "ACME"), (0x00191001, "LO", "x"), (0x00191101, "LO", "y"), (0x00540016, "SQ", again)], n % 2 == 0))
+            yield pd.DataFrame({"path": batch["file_path"], "content": made})
+
+    files = inputs.files(spark, d).select("file_path", "number_of_slices")
+    found = private_tags.creator_resolve(headers.parse_headers(files.mapInPandas(write, "path string, content binary")))
+    return found.select("file_path", F.hex("element").alias("element_hex"), "creator")
+
+
+def _vendor_headers(spark: SparkSession, d: str) -> DataFrame:
+    """file_path and value_bytes of a vendor header for every file with a vendor hash."""
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = zip(batch["file_path"], batch["csa_series_header_hash"], batch["number_of_slices"], batch["modality"], strict=True)
             yield pd.DataFrame([(p, vendor.write_csa([("CsaSeriesHash", "LO", [h]), ("Slices", "IS", [str(n), m or ""])], n % 2 == 0)) for p, h, n, m in rows], columns=["file_path", "value_bytes"])
 
     known = inputs.files(spark, d).filter("csa_series_header_hash IS NOT NULL").select("file_path", "csa_series_header_hash", "number_of_slices", "modality")
-    return vendor.csa_elements(known.mapInPandas(pack, "file_path string, value_bytes binary"))
+    return known.mapInPandas(pack, "file_path string, value_bytes binary")
+
+
+def csa_elements(spark: SparkSession, d: str) -> DataFrame:
+    return vendor.csa_elements(_vendor_headers(spark, d))
+
+
+def csa_json(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON form, and whether its hash is that of the bytes it was read from."""
+    payloads = _vendor_headers(spark, d)
+    text = vendor.csa_json(vendor.csa_elements(payloads), payloads)
+    return text.join(vendor.csa_hash(payloads), "file_path").select("file_path", "elements", F.length("csa_hash").alias("hash_length"))
 
 
 def expand_archive(spark: SparkSession, d: str) -> DataFrame:
@@ -266,23 +295,35 @@ def scan_archives(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive"), "member", "series_instance_uid", "series_number", wrong.alias("error"))
 
 
-PARTS = 3
+def series_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The series with the smallest UID."""
+    own = series(spark, d)
+    (uid,) = own.agg(F.min("series_instance_uid")).first()
+    return detail.series_lookup(own, uid).select("file_path", "series_instance_uid", "modality")
+
+
+PARTS = 4
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The header files arrive in three parts ordered by path, each read by its own run of the stream; the second part then comes a second time.
+    """The header files come in parts cut across the series, so that a series' files are in several of them.
 
-    Equal to the batch dedup, as the first path comes first.
+    The first part is a stored table, which enters the state of the stream with
+    the first batch; each other is read by its own run of the stream, the second a second
+    time at the end. Equal to the batch dedup, as the parts' borders are by the
+    last number in a path but one, which follows the series in it.
     """
     root = scratch_path(spark, "stream")
     found = header_files(spark, d)
-    # the parts' borders are quantiles of the order number in the path, so every path of a part is before those of the next
-    scan = F.substring("path", 5, 1).cast("int")
-    part = F.floor(scan * PARTS / 7).cast("int")
-    for i in (*range(PARTS), 1):
+    lot = F.substring("path", 18, 6).cast("int")
+    most = found.agg(F.max(lot)).first()[0] or 0
+    part = F.floor(lot * PARTS / (most + 1)).cast("int")
+    ingest.append_new(found.filter(part == 0), f"{root}/stored")
+    stored = spark.read.parquet(f"{root}/stored")
+    for i in (*range(1, PARTS), 1):
         found.filter(part == i).write.mode("append").parquet(f"{root}/in")
-        ingest.ingest_stream(spark.readStream.schema(found.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/log").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("file_path", "series_instance_uid")
+        ingest.ingest_stream(spark.readStream.schema(found.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/log", spark.readStream.schema(stored.schema).parquet(f"{root}/stored")).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("file_path", "series_instance_uid").unionByName(stored.select("file_path", "series_instance_uid"))
 
 
 def ctp_demographics(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dose_issues": _of_rep(filters.dose_issues),
     "composition_issues": _of_series(filters.composition_issues),
     "ctp_demographics": ctp_demographics,
-    "series_lookup": _of_series(lambda x: detail.series_lookup(x, "1.2.840.1.1").select("file_path", "series_instance_uid", "modality")),
+    "series_lookup": series_lookup,
     "study_export_info": _of_series(export.study_export_info),
     "json_dump": json_dump,
     "study_list": _of_series(lambda x: studies.with_text_lists(studies.study_list(x))),
@@ -381,7 +422,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ctp_columns": ctp_columns,
     "private_decode": private_decode,
     "payload_fingerprint": payload_fingerprint,
+    "creator_resolve": creator_resolve,
     "csa_elements": csa_elements,
+    "csa_json": csa_json,
     "expand_archive": expand_archive,
     "scan_archives": scan_archives,
     "stream_ingest": stream_ingest,

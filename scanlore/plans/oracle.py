@@ -172,7 +172,9 @@ TAILS = {
     "export_text": f", e AS ({_EXPORT_ALL}) SELECT study, place, {', '.join(f'{v} AS {k}' for k, v in _TEXTS.items())} FROM e",
     "private_decode": _PRIVATE,
     "payload_fingerprint": f", p AS ({_PRIVATE}) SELECT file_path, sha256(string_agg(creator || '|' || group_hex || '|' || element_hex || '|' || value_hash, chr(10) ORDER BY element_hex)) AS fingerprint FROM p GROUP BY 1",
-    "series_lookup": "SELECT file_path, series_instance_uid, modality FROM series WHERE series_instance_uid = '1.2.840.1.1'",
+    "series_lookup": "SELECT file_path, series_instance_uid, modality FROM series WHERE series_instance_uid = (SELECT min(series_instance_uid) FROM series)",
+    "creator_resolve": "SELECT file_path, e AS element_hex, CASE WHEN e = '1101' THEN 'Unknown' WHEN number_of_slices % 3 = 1 THEN 'NEST' ELSE 'ACME' END AS creator FROM files CROSS JOIN (VALUES ('1001'), ('1101')) t(e)",
+    "csa_json": """SELECT file_path, '{"format":"' || CASE WHEN number_of_slices % 2 = 0 THEN 'CSA2' ELSE 'CSA1' END || '","element_count":2,"elements":{"CsaSeriesHash":{"vr":"LO","vm":1,"values":["' || csa_series_header_hash || '"]},"Slices":{"vr":"IS","vm":2,"values":["' || number_of_slices || '"' || CASE WHEN modality IS NULL THEN '' ELSE ',"' || modality || '"' END || ']}}}' AS elements, 64 AS hash_length FROM files WHERE csa_series_header_hash IS NOT NULL""",
     "study_export_info": "SELECT study_instance_uid, max(patient_weight) AS patient_weight, max(patient_size) AS patient_size, max(study_date) AS study_date, max(study_time) AS study_time, max(patient_name) AS patient_name FROM series GROUP BY 1",
     "json_dump": "SELECT file_path, series_instance_uid, modality, coalesce(n, 0) AS n_tags FROM series LEFT JOIN (SELECT file_path, count(*) AS n FROM tags GROUP BY 1) USING (file_path)",
     "ctp_demographics": _DEMOGRAPHICS + " UNION ALL SELECT 'ctp flagged', count(*) FROM studies",

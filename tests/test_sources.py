@@ -67,6 +67,13 @@ def test_last_creator_wins(spark):
     assert {(r.element, r.creator) for r in private_tags.creator_resolve(table).collect()} == {(0x1001, "TWO"), (0x1101, "Unknown")}
 
 
+def test_empty_creators_name_nothing(spark):
+    """The reference skips empty creators, at the top and nested, so an earlier name holds."""
+    rows = [("f", 0, "", 0x99, 0x10, "LO", None, ["ACME"]), ("f", 1, "/s[0]", 0x99, 0x10, "LO", None, ["  "]), ("f", 2, "", 0x99, 0x10, "LO", None, None), ("f", 3, "", 0x99, 0x1001, "LO", None, ["x"]), ("f", 4, "", 0x99, 0x11, "LO", None, [""]), ("f", 5, "", 0x99, 0x1101, "LO", None, ["y"])]
+    table = spark.createDataFrame(rows, "file_path string, ordinal int, seq_path string, group int, element int, vr string, value_bytes binary, value_text array<string>")
+    assert {(r.element, r.creator) for r in private_tags.creator_resolve(table).collect()} == {(0x1001, "ACME"), (0x1101, "Unknown")}
+
+
 def test_classes(spark):
     cases = [("CTP", None, None, "pipeline_provenance"), ("Varian", None, None, "rt_provenance"), ("SIEMENS CSA HEADER", None, None, "vendor_semantic"), ("x", "Siemens", None, "vendor_raw"), ("SD", None, None, "vendor_semantic"), ("IMAGE", None, None, "vendor_raw"), ("x", "CANON", None, "vendor_raw"), ("x", None, "t", "vendor_raw"), ("x", None, None, "unknown_binary")]
     table = spark.createDataFrame(cases, "c string, m string, t string, want string")
