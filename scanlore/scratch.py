@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,16 @@ def scratch_dir(spark: SparkSession) -> str:
         if context.applicationId not in _own:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-scratch-")
         named = _own[context.applicationId]
-    return named.rstrip("/")
+    return qualified(spark, named.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without belongs to Hadoop's default file system, and Python has to read it there too."""
+    if "://" in path:
+        return path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/(?!/)", r"\1:///", found)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
