@@ -199,12 +199,13 @@ def _walked(graph: tuple, queries: Iterator[pa.RecordBatch], k: int, beam: int)
             yield pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
-def search_shards(points: DataFrame, asked: str, n_shards: int, k: int, beam: int = BEAM) -> DataFrame:
+def search_shards(points: DataFrame, asked: str, dimensions: set[int], n_shards: int, k: int, beam: int = BEAM) -> DataFrame:
     """query_id, vec_id, score: the k nearest of each shard of ``points`` (ids, v) for each query.
 
     The task that has a shard's points builds its graph and then reads the
     queries of that dimension block by block from the shared folder ``asked``,
-    so neither queries nor graphs are shuffled.
+    so neither queries nor graphs are shuffled. ``dimensions`` are those that
+    have queries; a task that does not find theirs fails.
     """
 
     def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,9 @@ def search_shards(points: DataFrame, asked: str, n_shards: int, k: int, beam: in
         raw = _stacked(own.column("v"))
         links, start = build(_unit(raw))
         store, root = fs.FileSystem.from_uri(f"{asked}/d={key[0].as_py()}")
-        if store.get_file_info(root).type == fs.FileType.Directory:
+        if key[0].as_py() in dimensions:
+            if store.get_file_info(root).type != fs.FileType.Directory:
+                raise FileNotFoundError(f"queries in {asked}")
             blocks = dataset.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=BLOCK_QUERIES)
             for found in _walked((raw, own.column("ids").to_pylist(), links, start), blocks, k, beam):
                 yield from found.to_batches()
@@ -235,7 +238,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     n_shards = max(1, -(-points.count() // SHARD_POINTS))
     asked = scratch_path(spark, "queries")
     fine.filter(is_query).select(F.col("id").alias("query_id"), F.size("v").alias("d"), F.col("v").alias("q")).write.partitionBy("d").parquet(asked)
-    uri = asked if "://" in asked else f"file://{asked}"
-    found = search_shards(points, uri, n_shards, k, beam)
+    dimensions = {r["d"] for r in spark.read.parquet(asked).select("d").distinct().collect()} if fine.filter(is_query).limit(1).count() else set()
+    found = search_shards(points, asked, dimensions, n_shards, k, beam)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, release, save, scratch_dir, scratch_path  # noqa: F401
 
-#: Rows that may be broadcast when their count has been taken first (8 to 16 bytes each).
+#: Rows that may be broadcast when their count has been taken first (8 to 16 bytes each, and texts within BROADCAST_BYTES).
 BROADCAST_ROWS = 1_000_000
 #: Bytes that may be broadcast when they have been summed first, and what a row takes besides its texts.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
@@ -71,31 +71,50 @@ def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _texts(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t in ("string", "binary")]
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the counted rows are within the bound; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= bound else df
+    """Hint a broadcast only when the counted rows are within the bound, and the bytes of text columns, if there are any, too; beyond it Spark shuffles."""
+    if rows > bound:
+        return df
+    texts = _texts(df)
+    return light(df, *texts) if texts else F.broadcast(df)
 
 
 def light(df: DataFrame, *texts: str, most: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the rows with the bytes of their text columns were summed and are within ``most``; reads ``df``, a written table, once more."""
+    held = df.agg(F.sum(_bytes(texts))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
+def _bytes(texts: Iterable[str]) -> Column:
     each = F.lit(ROW_BYTES)
     for c in texts:
-        each = each + F.coalesce(F.octet_length(c), F.lit(0))
-    held = df.agg(F.sum(each.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
+        each = each + F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+    return each.cast("long")
 
 
-def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS, held: Column | None = None) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
 
-    Groups are broadcast when there are ``most`` at most. Else those that hold
-    more than 1 / ``most`` of the rows in groups, of which there cannot be
-    more than that number, are, and their rows leave the join that shuffles.
+    Groups are broadcast when there are ``most`` at most and their bytes are
+    within BROADCAST_BYTES; ``held`` gives the bytes of columns that are not
+    text. Else the largest are, as many as are within both bounds and hold more
+    than an even share of the rows, and their rows leave the join that shuffles.
     """
-    count, total = groups.agg(F.count("*"), F.sum(n)).first()
-    if count <= most:
+    size = _bytes(_texts(groups)) if held is None else _bytes(_texts(groups)) + held
+    count, total, whole = groups.agg(F.count("*"), F.sum(n), F.sum(size)).first()
+    if count <= most and (whole or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), key, how)
-    hot = groups.filter(F.col(n) > F.lit(total // most))
+    # fewer and larger ones, until they are within the bound; none at all when the largest are not
+    for share in (most >> i for i in range(0, most.bit_length() - 1, 4)):
+        hot = groups.filter(F.col(n) > F.lit(total // share))
+        if (hot.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+            break
+    else:
+        return rows.join(groups, key, how)
     keys = [key] if isinstance(key, str) else key
     apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys, how)
     return apart.unionByName(rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how))

@@ -14,8 +14,8 @@ where tags, comments or scripts are not closed.
 A line that is boilerplate stands on more than RATIO of its host's pages, so a
 host has at most (lines per page / RATIO) of them, whatever its size. They go
 to the pages in buckets by hash, so that a line is looked up in one step: by a
-broadcast where there are few hosts that have any, else the largest hosts by a
-broadcast and the others by a join.
+broadcast where there are few hosts and the bytes of their lines are few, else
+the largest hosts within that bound by a broadcast and the others by a join.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     hosts = save(prepared.groupBy("host").agg(F.count("*").alias("host_pages")), "hosts")
     common = save(boilerplate(prepared.select("host", "lines"), hosts, ratio), "boilerplate")
     known = save(hosts.join(by_bucket(common), "host", "left"), "buckets")
-    found = matched(prepared, known, "host", "host_pages", "left", BROADCAST_HOSTS)
+    held = F.coalesce(F.aggregate("buckets", F.lit(0).cast("long"), lambda n, x: n + 16 + 40 * F.size(x)), F.lit(0).cast("long"))
+    found = matched(prepared, known, "host", "host_pages", "left", BROADCAST_HOSTS, held)
 
     def stays(line: Column) -> Column:
         h = _hash(line)

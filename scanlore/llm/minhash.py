@@ -58,6 +58,8 @@ DRAWN = 1 << 19
 BROADCAST_BUCKETS = 10_000
 #: Bytes of texts' shingles that a task comparing pairs keeps.
 HELD_BYTES = 16 << 20
+#: Pairs of one text that a task takes at least before they are split.
+LEAST_SHARE = 64
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +253,28 @@ def _overlap(x, y) -> float:
     return common / (int(m.sum()) + int(n.sum()) - common)
 
 
+def _with_text(rows: DataFrame, pairs: DataFrame, n_pairs: int, texts: DataFrame, end: str, name: str) -> DataFrame:
+    """``rows``, which has ``pairs`` (a, b), with the text of the row that column ``end`` names.
+
+    A row that is in more pairs than its share of a task, as the pivot of a
+    large bucket is, is split: its text goes to several tasks, each with a part
+    of its pairs.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(LEAST_SHARE, -(-n_pairs // (4 * tasks)))
+    split = pairs.groupBy(end).agg(F.count("*").alias("n")).filter(F.col("n") > each).select(end, F.ceil(F.col("n") / each).alias("ways"))
+    split = small(split, split.count())
+    dealt = rows.join(split, end, "left").withColumn("way", F.pmod(F.xxhash64("a", "b"), F.coalesce("ways", F.lit(1).cast("long")))).drop("ways")
+    copies = texts.select(F.col("row").alias(end), F.col("utf8").alias(name)).join(split, end, "left")
+    copies = copies.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1).cast("long")) - 1))).drop("ways")
+    return dealt.join(copies, [end, "way"]).drop("way")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose similarity is reached; ``texts`` has row and utf8 of all of them."""
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("utf8").alias("left")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("utf8").alias("right")), "b").select("a", "b", "left", "right")
+    """Pairs (a, b), a written table, whose similarity is reached; ``texts`` has row and utf8 of all of them."""
+    n_pairs = pairs.count()
+    left = _with_text(pairs, pairs, n_pairs, texts, "a", "left")
+    both = _with_text(left, pairs, n_pairs, texts, "b", "right").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}

@@ -267,3 +267,67 @@ def test_pieces_are_cut_at_spaces():
         assert b"".join(x for _, x in parts) == text
         assert [w for _, x in parts for w in x.split()] == text.split()
         assert all(text[at : at + len(x)] == x for at, x in parts)
+
+
+# --- bounds that several operators share
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    from scanlore.llm import common
+
+    hinted = lambda df: "ResolvedHint (strategy=broadcast)" in df._jdf.queryExecution().analyzed().toString()
+    few = spark.createDataFrame([("x" * 1000, 1), ("y" * 1000, 2)], "id string, n long")
+    assert hinted(common.small(few, 2)) and not hinted(common.small(few, 2, 1))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    assert not hinted(common.light(few, "id", most=1000))
+    rows = spark.createDataFrame([("x" * 1000, i) for i in range(30)] + [("z", 1), ("w", 2)], "key string, v long")
+    groups = spark.createDataFrame([("x" * 1000, 30), ("z", 1)], "key string, n long")
+    for how, want in (("inner", 31), ("left", 32), ("left_semi", 31)):
+        assert common.matched(rows, groups, "key", "n", how).count() == want
+    # a host with 100,000 lines is not broadcast as if it were one number
+    lines = spark.createDataFrame([("h", 100_000)], "key string, n long").withColumn("held", F.lit(100_000 * 40))
+    joined = common.matched(rows, lines, "key", "n", "left", 10_000, F.col("held"))
+    assert not hinted(joined) and joined.count() == 32
+
+
+def test_paths_without_scheme_belong_to_the_default_file_system(spark, tmp_path, monkeypatch):
+    from scanlore import scratch
+    from scanlore.llm import ann
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: scratch.qualified(spark, str(tmp_path)))
+    assert scratch.scratch_path(spark, "x").startswith(f"file://{tmp_path}/x-")
+    random.seed(2)
+    rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0)
+    assert found.count() == 30
+    hadoop = spark._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "viewfs://store/")
+    hadoop.set("fs.viewfs.mounttable.store.link./some", f"file://{tmp_path}")
+    try:
+        assert scratch.qualified(spark, "/some/where") == "viewfs://store/some/where"
+        assert scratch.qualified(spark, "file:///some/where") == "file:///some/where"
+    finally:
+        hadoop.set("fs.defaultFS", before or "file:///")
+
+
+def test_missing_queries_are_an_error(spark, tmp_path):
+    from scanlore.llm import ann
+
+    points = spark.createDataFrame([([i], [float(i), 1.0]) for i in range(9)], "ids array<long>, v array<double>")
+    with pytest.raises(Exception, match="queries in"):
+        ann.search_shards(points, f"file://{tmp_path}/nowhere", {2}, 1, 3).collect()
+    assert ann.search_shards(points, f"file://{tmp_path}/nowhere", set(), 1, 3).collect() == []
+
+
+def test_a_pivot_of_many_pairs_is_split(spark, monkeypatch):
+    from scanlore.llm import minhash
+
+    monkeypatch.setattr(minhash, "LEAST_SHARE", 5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(80)] + ["far away " + " ".join(f"v{i}" for i in range(60))]
+    table = spark.createDataFrame([(i, x.encode()) for i, x in enumerate(texts)], "row long, utf8 binary")
+    pairs = [(0, i) for i in range(1, 81)] + [(3, 4)]
+    found = minhash._verify(spark.createDataFrame(pairs, "a long, b long"), table)
+    assert sorted(map(tuple, found.collect())) == sorted(p for p in pairs if minhash.similarity(texts[p[0]].encode(), texts[p[1]].encode()) >= minhash.SIMILARITY)
+    assert found.count() == 80

@@ -164,19 +164,77 @@ def test_toxicity_forward_pass_by_hand():
     model = toxicity.train(sample)
     rows = {int(w): i for i, w in enumerate(model["ids"])}
     for text, _ in sample[:12] + [(b"", 0), (b"vile", 0)]:
-        ids = [zlib.crc32(w.encode()) % toxicity.BUCKETS for w in text.decode().lower().split()]
-        vectors = [model["table"][rows.get(i, len(model["table"]) - 1)].astype(float) for i in ids]
+        vectors = []
+        for w in text.decode().lower().split():
+            three = [zlib.crc32(x.encode()) % (1 << toxicity.BITS) for x in (w, "<" + w[:3], w[-3:] + ">")]
+            vectors.append(sum(model["table"][rows.get(i, len(model["table"]) - 1)].astype(float) for i in three))
         z = float(model["b"][0])
         for n, width in enumerate(toxicity.WIDTHS):
             for f in range(toxicity.FILTERS):
-                best = 0.0
+                best, place = 0.0, n * toxicity.FILTERS + f
                 for at in range(len(vectors)):
-                    best = max(best, sum(float(model[f"f{width}"][k][:, f] @ vectors[at + k]) for k in range(width) if at + k < len(vectors)))
-                z += best * float(model["out"][n * toxicity.FILTERS + f])
-        z -= model["shift"][toxicity._language(np.array(ids, np.int32))]
+                    best = max(best, float(model["bias"][place]) + sum(float(model[f"f{width}"][k][:, f] @ vectors[at + k]) for k in range(width) if at + k < len(vectors)))
+                z += best * float(model["out"][place])
+        letters = np.zeros(256)
+        for c in text.lower():
+            letters[c] += 97 <= c < 123 or c > 127
+        share = np.sqrt(letters / max(1, letters.sum()))
+        z -= model["shift"][((model["centres"] - share) ** 2).sum(1).argmin()]
         assert abs(toxicity.score(model, [text])[0] - 1 / (1 + np.exp(-z))) < 1e-3
 
 
+def test_toxicity_gradients_by_finite_differences():
+    rng = np.random.default_rng(3)
+    width = len(toxicity.WIDTHS) * toxicity.FILTERS
+    model = {"table": rng.normal(0, 1, (30, toxicity.EMBEDDED)), "out": rng.normal(0, 1, width), "b": np.array([0.3]), "bias": rng.normal(0, 0.1, width)}
+    model["table"][-1] = 0
+    model |= {f"f{w}": rng.normal(0, 0.3, (w, toxicity.EMBEDDED, toxicity.FILTERS)) for w in toxicity.WIDTHS}
+    words = np.concatenate([rng.integers(0, 29, (12, 3)), np.full((1, 3), 29)])
+    texts = [rng.integers(0, 13, n) for n in (5, 1, 9, 0, 3)]
+    y, weight, kept = np.array([1.0, 0, 1, 0, 1]), rng.random(5), (rng.random((5, width)) < 0.7) / 0.7
+    loss = lambda: toxicity.loss_and_gradients(model, words, texts, y, weight, kept)[0]
+    _, grads = toxicity.loss_and_gradients(model, words, texts, y, weight, kept)
+    rows, table = grads.pop("table")
+    grads["table"] = np.zeros_like(model["table"])
+    grads["table"][rows] = table
+    for name, grad in grads.items():
+        places = np.argwhere(np.abs(grad) > 1e-4)
+        assert len(places)
+        for at in [tuple(places[i]) for i in rng.permutation(len(places))[:15]]:
+            before, step = model[name][at], 1e-4
+            model[name][at] = before + step
+            up = loss()
+            model[name][at] = before - step
+            down = loss()
+            model[name][at] = before
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-2 * max(1, abs(grad[at])), (name, at)
+
+
+def test_toxicity_thresholds_by_language():
+    """Languages are told by letters; a language whose scores lie higher gets a higher border, one without labels the common one."""
+    rng = np.random.default_rng(4)
+    text = lambda letters: "".join(rng.choice(list(letters), 200)).encode()
+    profiles = np.stack([toxicity.profile(text(x)) for x in ["abcde"] * 60 + ["vwxyz"] * 60])
+    y = np.tile([0.0, 1.0], 60)
+    z = np.where(y == 1, 1.0, -1.0) + np.repeat([0.0, 5.0], 60)
+    model = toxicity._calibrate({}, z, profiles, y, np.zeros(120, bool))
+    own = model["shift"][toxicity.group_of(model["centres"], profiles)]
+    assert ((z >= own) == (y == 1)).all()
+    assert len(set(own[:60])) == len(set(own[60:])) == 1 and own[0] < own[-1]
+
+
+def test_toxicity_starts_from_nothing_that_labels_told():
+    """The same texts with all labels turned begin with the same weights, so no start value comes from a label."""
+    sample = _trained()
+    passes = toxicity.PASSES
+    try:
+        toxicity.PASSES = 0
+        one, other = toxicity.train(sample), toxicity.train([(x, 1 - y) for x, y in sample])
+    finally:
+        toxicity.PASSES = passes
+    assert all(np.array_equal(one[k], other[k]) for k in ("ids", "table", "out", "b", "bias", *(f"f{w}" for w in toxicity.WIDTHS)))
+
+
 def test_quality_by_hand(spark):
     sample = _trained()
     docs = spark.createDataFrame([(i, t.decode()) for i, (t, _) in enumerate(sample)], "doc_id long, text string").repartition(3)
@@ -296,6 +354,12 @@ def test_shingles_by_hand():
 def test_hits_are_told_from_other_tokens_by_their_bytes():
     v = bpe.Vocabulary({bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257})
     tables = bpe.PieceTables(v)
+    want = np.array([257], np.int32).tobytes()
+    assert tables.encode([b"abc"]) == [want]
+    tables = bpe.PieceTables(v)
     tables.tokens[:] = tables.tokens[::-1].copy()  # every hash now names another token
-    with pytest.raises(Exception):  # noqa: B017
-        assert tables.encode([b"abc"]) == [np.array([257], np.int32).tobytes()]
+    try:
+        found = tables.encode([b"abc"])
+    except (KeyError, ValueError, IndexError, AssertionError):
+        return  # told
+    assert found != [want]
