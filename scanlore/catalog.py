@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dashboard, detail, export, filters, private_tags, representative, store, studies
+from .operators import bitmaps, dashboard, detail, export, filters, places, private_tags, representative, store, studies
 from .plans import inputs, oracle
 from .sources import archives, headers, ranges, vendor
 from .scratch import save, scratch_path
@@ -83,10 +83,19 @@ def prune_tags(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("series_instance_uid", "group_hex", "element_hex")
 
 
+def _filter_index(spark: SparkSession, d: str) -> bitmaps.FilterIndex:
+    own = save(series(spark, d), "series")
+    return bitmaps.FilterIndex.build(representative.representative_query(own), own)
+
+
 def filter_combine(spark: SparkSession, d: str) -> DataFrame:
-    own = series(spark, d)
-    r = representative.enriched(own)
-    return filters.filter_combine(filters.range_filter(r, uptake=("10", None)), filters.timing_filter(r, "ok"), filters.qa_score_filter(r, 4), filters.composition_filter(own, "missing_ct"))
+    """Four filters in one pass over the tables, combined as bitmaps."""
+    return _filter_index(spark, d).select(uptake=("10", None), timing="ok", qa_score="4", composition="missing_ct")
+
+
+def filter_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many studies every value of every filter has."""
+    return _filter_index(spark, d).counts()
 
 
 EXPORTED = ["patient_id", "patient_sex", "study_date", "series_number", "modality", "uptake_delay", "dose_per_kg", "bmi"]
@@ -342,9 +351,8 @@ def json_dump(spark: SparkSession, d: str) -> DataFrame:
 
 def newest_first(spark: SparkSession, d: str) -> DataFrame:
     """Studies in the order of the list, with their place in it."""
-    ordered = studies.newest_first(studies.study_list(series(spark, d)).select(UID, "study_date", "study_time"))
-    placed = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return spark.createDataFrame(placed, f"{UID} string, place long")
+    listed = studies.study_list(series(spark, d)).select(UID, "study_date", "study_time")
+    return places.placed(listed, studies.newest_order()).select(UID, "place")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -372,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "facet_filter": _of_series(lambda x: studies.facet_filter(studies.study_list(x), modality=["PT", "CT"], manufacturer=["SIEMENS"]).select(UID)),
     "text_search": _of_series(lambda x: studies.with_text_lists(studies.text_search(x, " Economy "))),
     "match_score": _of_series(lambda x: studies.match_score(studies.with_text_lists(studies.text_search(x, "economy")), "economy").select(UID, "match_score", "match_field")),
+    "match_score_exact": _of_series(lambda x: studies.match_score(studies.with_text_lists(studies.text_search(x, "economy")), "economy").filter("match_score >= 0.9").select(UID, "match_score")),
     "range_filter": _of_rep(lambda r: filters.range_filter(r, ("30", "90.5"), ("0.5", "5"))),
     "missing_filter": _of_both(lambda r, x: filters.missing_filter(r, x, "dose")),
     "timing_filter": _of_rep(lambda r: filters.timing_filter(r, "negative")),
@@ -379,6 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_score_filter": _of_rep(lambda r: filters.qa_score_filter(r, 4)),
     "composition_filter": _of_series(lambda x: filters.composition_filter(x, "missing_ct")),
     "filter_combine": filter_combine,
+    "filter_counts": filter_counts,
     "export_modality_filter": _of_series(lambda x: filters.export_modality_filter(x, ["PT", "CT"]).select("file_path", "modality")),
     "uptake_stats": _of_rep(dashboard.uptake_stats),
     "dose_stats": _of_rep(dashboard.dose_stats),

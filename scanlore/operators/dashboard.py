@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..scratch import save
 from . import filters
+from .places import medians
 
 SUMMARY = ("patient_id", "patient_name", "patient_birth_date", "patient_sex", "patient_age", "patient_weight", "patient_size", "study_date", "study_time")
 TRIAL = ("ctp_collection", "ctp_subject_id", "ctp_private_flag_raw", "ctp_private_flag_int")
@@ -18,15 +20,21 @@ UPTAKE_IDEAL, UPTAKE_WITHIN = 60, (45, 75)
 DOSE_IDEAL, DOSE_WITHIN = 3.0, (2.5, 3.5)
 
 
-def _figures(value: str) -> list[Column]:
-    v = F.col(value)
-    return [F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max")]
-
-
 def summary_stats(df: DataFrame, value: str, within: tuple[float, float] | None = None) -> DataFrame:
     """n, mean, median, sd (null for one value), min, max and, with bounds, how many lie within."""
-    more = [F.count_if(F.col(value).between(*within)).alias("within")] if within else []
-    return df.agg(*_figures(value), *more)
+    v = F.col("value")
+    more = [F.count_if(v.between(*within)).alias("within")] if within else []
+    rows = save(df.select(F.col(value).alias("value")).filter("value IS NOT NULL"), "figures")
+    middle = medians(rows, [], ["value"]).agg(F.round(F.max("value"), 6).alias("median"))  # one row, null without values
+    found = rows.agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), *more)
+    return found.crossJoin(F.broadcast(middle)).select("n", "mean", "median", *[c for c in found.columns if c not in ("n", "mean")])
+
+
+def _with_medians(rows: DataFrame, found: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
+    """``found``, one row for each ``key``, with the medians of columns of ``rows`` under other names."""
+    middle = medians(rows, [key], list(values))
+    middle = middle.select(F.col(key).alias("__key"), *(F.round(c, 6).alias(name) for c, name in values.items()))
+    return found.join(middle, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def uptake_stats(rep: DataFrame) -> DataFrame:
@@ -46,18 +54,17 @@ def scan_duration(rep: DataFrame) -> DataFrame:
 def _group_summary(rep: DataFrame, key: str, name: str) -> DataFrame:
     injected = s.first_filled("injection_date", "study_date").isNotNull() & s.filled("injection_time")
     acquired = s.filled("acquisition_time") & s.first_filled("acquisition_date", "study_date").isNotNull()
-    return rep.groupBy(F.coalesce(F.nullif(key, F.lit("")), F.lit("Unknown")).alias(name)).agg(
+    lacks = {"missing_weight": F.col("weight_best").isNull() | s.number("injected_activity").isNull(), "missing_injection": ~(injected & acquired), "missing_acquisition": ~acquired}
+    rows = save(rep.select(F.coalesce(F.nullif(key, F.lit("")), F.lit("Unknown")).alias(name), "delay_minutes", "dose_dashboard", *(c.alias(k) for k, c in lacks.items())), "figures")
+    found = rows.groupBy(name).agg(
         F.count("*").alias("n"),
         F.round(F.avg("delay_minutes"), 6).alias("uptake_mean"),
-        F.round(F.median("delay_minutes"), 6).alias("uptake_median"),
         F.count_if(F.col("delay_minutes").between(*UPTAKE_WITHIN)).alias("uptake_within"),
         F.round(F.avg("dose_dashboard"), 6).alias("dose_mean"),
-        F.round(F.median("dose_dashboard"), 6).alias("dose_median"),
         F.count_if(F.col("dose_dashboard").between(*DOSE_WITHIN)).alias("dose_within"),
-        F.count_if(F.col("weight_best").isNull() | s.number("injected_activity").isNull()).alias("missing_weight"),
-        F.count_if(~(injected & acquired)).alias("missing_injection"),
-        F.count_if(~acquired).alias("missing_acquisition"),
+        *(F.count_if(F.col(k)).alias(k) for k in lacks),
     )
+    return _with_medians(rows, found, name, {"delay_minutes": "uptake_median", "dose_dashboard": "dose_median"})
 
 
 def modality_summary(rep: DataFrame) -> DataFrame:
@@ -70,7 +77,9 @@ def radiopharm_summary(rep: DataFrame) -> DataFrame:
 
 def ct_dose_summary(rep: DataFrame) -> DataFrame:
     some = rep.filter("ctdivol IS NOT NULL OR dlp IS NOT NULL")
-    return some.groupBy(F.coalesce(F.nullif("modality", F.lit("")), F.lit("Unknown")).alias("modality")).agg(F.count("*").alias("n"), *(x for c in ("ctdivol", "dlp") for x in (F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.median(c), 6).alias(f"{c}_median"))))
+    rows = save(some.select(F.coalesce(F.nullif("modality", F.lit("")), F.lit("Unknown")).alias("modality"), "ctdivol", "dlp"), "figures")
+    found = rows.groupBy("modality").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("ctdivol", "dlp")))
+    return _with_medians(rows, found, "modality", {"ctdivol": "ctdivol_median", "dlp": "dlp_median"})
 
 
 def category_counts(df: DataFrame, key: str | Column, name: str, top: int | None = None) -> DataFrame:

@@ -15,15 +15,15 @@ PRESENT = ("weight", "dose", "injection_time", "acquisition_time", "radiopharmac
 HIGH_SERIES = 20
 
 
-def range_filter(rep: DataFrame, uptake: tuple = (None, None), dose: tuple = (None, None)) -> DataFrame:
-    """Representatives whose uptake delay and dose lie within the bounds, given as text; a maximum compares the value rounded to its places."""
+def range_filter(rep: DataFrame, uptake: tuple = (None, None), dose: tuple = (None, None), keep: bool = False) -> DataFrame:
+    """Representatives whose uptake delay and dose lie within the bounds, given as text; a maximum compares the value rounded to its places. ``keep`` gives all columns."""
     for c, (low, high) in (("delay_minutes", uptake), ("dose_per_kg", dose)):
         if low is not None:
             rep = rep.filter(F.col(c) >= float(low))
         if high is not None:
             places = s.decimal_places(high)
             rep = rep.filter((F.bround(c, places) if places else F.col(c)) <= float(high))
-    return rep.select(UID)
+    return rep if keep else rep.select(UID)
 
 
 def present(field: str) -> Column:

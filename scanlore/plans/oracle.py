@@ -195,6 +195,8 @@ SELECT scan_id, count(*) FILTER (WHERE fresh) AS processed, count(*) FILTER (WHE
     "facet_values": " UNION ".join(f"SELECT '{c}' AS facet, {c} AS value FROM series WHERE {c} <> ''" for c in ("modality", "manufacturer", "radiopharmaceutical")),
     "facet_filter": f"{UID} by_modality GROUP BY 1 HAVING bool_or(modality IN ('PT', 'CT')) AND bool_or(manufacturer = 'SIEMENS')",
     "text_search": f"SELECT {LIST} FROM by_modality WHERE {_HIT} GROUP BY 1",
+    "match_score_exact": f"""SELECT study_instance_uid, cast(max(CASE WHEN v = 'economy' THEN 1 WHEN v LIKE '%economy%' THEN 0.95 ELSE 0.9 END) AS double) AS match_score
+  FROM (SELECT study_instance_uid, unnest([lower(patient_name), lower(patient_id), lower(modality), lower(study_description), lower(manufacturer), lower(radiopharmaceutical)]) AS v FROM (SELECT {LIST} FROM by_modality WHERE {_HIT} GROUP BY 1)) WHERE v <> '' AND (v LIKE '%economy%' OR 'economy' LIKE '%' || v || '%') GROUP BY 1""",
     "range_filter": f"{UID} rep WHERE delay_minutes >= 30 AND round_even(delay_minutes, 1) <= 90.5 AND dose_per_kg >= 0.5 AND dose_per_kg <= 5",
     "missing_filter": f"{UID} rep WHERE injected_activity IS NULL AND study_instance_uid IN ({UID} studies WHERE tracer_study)",
     "timing_filter": f"{UID} rep WHERE status = 'negative'",
@@ -249,4 +251,9 @@ SELECT x.study_instance_uid, series_instance_uid, file_path, modality, round(nul
     "stream_ingest": "SELECT file_path, series_instance_uid FROM series",
     "ctp_columns": "SELECT file_path, 'COLL-' || cast(number_of_slices % 15 AS varchar) AS ctp_collection, patient_id AS ctp_subject_id, number_of_slices AS ctp_private_flag_int FROM files",
 }
+# how many studies each value of a filter has
+TAILS["filter_counts"] = " UNION ALL ".join(
+    [f"SELECT '{name if name != 'dose' else 'dose_issue'}' AS filter, issue AS value, count(*) AS n FROM ({TAILS[f'{name}_issues']}) GROUP BY 2" for name in ("missing", "timing", "dose", "composition")]
+    + ["SELECT 'qa_score', cast(qa_score AS varchar), count(*) FROM qa GROUP BY 2"]
+)
 ORACLE = {name: BASE + tail for name, tail in TAILS.items()}
