@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import bitmaps, dashboard, detail, export, filters, places, private_tags, representative, store, studies
 from .plans import inputs, oracle
-from .sources import archives, headers, ranges, vendor
+from .sources import archives, databank, headers, ranges, vendor
 from .scratch import save, scratch_path
 from .streaming import ingest
 
@@ -304,6 +304,20 @@ def scan_archives(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive"), "member", "series_instance_uid", "series_number", wrong.alias("error"))
 
 
+def databank_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Two ingests into a laid out databank, a study deleted, the rest pruned; the second ingest brings the first one's files again."""
+    root = scratch_path(spark, "bank")
+    bank = databank.Bank(spark, root, "bank_" + root[-32:], lots=8, buckets=8)
+    files = save(inputs.files(spark, d), "files")
+    for part in (_existing(files), files):
+        bank.append(part, inputs.tags_of(spark, part))
+    bank.delete_study("1.2.840.1")
+    stored = bank.read(databank.SERIES)
+    bank.prune(representative.representative_ingest(stored.drop(databank.KEY, databank.LOT)))
+    tags = bank.read(databank.TAGS).groupBy("file_path").agg(F.count("*").alias("n_tags"))
+    return bank.read(databank.SERIES).join(tags, "file_path", "left").select("file_path", "series_instance_uid", "representative_flag", "n_tags")
+
+
 def series_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The series with the smallest UID."""
     own = series(spark, d)
@@ -429,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_text": _of_series(lambda x: export.export_text(x, [*export.DEFAULTS, "uptake_delay", "dose_per_kg", "bmi", "half_life"])),
     "parse_headers": parse_headers,
     "scan_headers": scan_headers,
+    "databank_upkeep": databank_upkeep,
     "ctp_columns": ctp_columns,
     "private_decode": private_decode,
     "payload_fingerprint": payload_fingerprint,

@@ -83,4 +83,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TAGS_SQL.replace("FROM files f", "FROM {files} f"), files=files(spark, sf_dir))
+    return tags_of(spark, files(spark, sf_dir))
+
+
+def tags_of(spark: SparkSession, given: DataFrame) -> DataFrame:
+    return spark.sql(TAGS_SQL.replace("FROM files f", "FROM {files} f"), files=given)

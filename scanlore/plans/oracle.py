@@ -248,6 +248,7 @@ SELECT x.study_instance_uid, series_instance_uid, file_path, modality, round(nul
     "expand_archive": "SELECT study_instance_uid || '.zip' AS archive, replace(file_path, '/', '_') AS member, series_number FROM files",
     "scan_headers": "SELECT file_path, CASE WHEN number_of_slices <> 11 THEN series_instance_uid END AS series_instance_uid, CASE WHEN number_of_slices <> 11 THEN modality END AS modality, CASE WHEN number_of_slices <> 11 THEN injected_activity END AS injected_activity, CASE WHEN number_of_slices <> 11 THEN number_of_slices END AS number_of_slices, CASE WHEN number_of_slices = 11 THEN 'cut off' END AS error FROM files",
     "scan_archives": "SELECT cast(cast(string_split(study_instance_uid, '.')[4] AS bigint) // 4096 AS varchar) || '.zip' AS archive, file_path AS member, CASE WHEN number_of_slices NOT IN (13, 17) THEN series_instance_uid END AS series_instance_uid, CASE WHEN number_of_slices NOT IN (13, 17) THEN series_number END AS series_number, CASE number_of_slices WHEN 13 THEN 'damaged' WHEN 17 THEN 'encrypted' END AS error FROM files",
+    "databank_upkeep": "SELECT file_path, series_instance_uid, 1 AS representative_flag, 6::bigint AS n_tags FROM ingest WHERE study_instance_uid <> '1.2.840.1'",
     "stream_ingest": "SELECT file_path, series_instance_uid FROM series",
     "ctp_columns": "SELECT file_path, 'COLL-' || cast(number_of_slices % 15 AS varchar) AS ctp_collection, patient_id AS ctp_subject_id, number_of_slices AS ctp_private_flag_int FROM files",
 }

@@ -1,10 +1,13 @@
-"""A databank: a folder with the ``series`` and ``private_tag`` tables as Parquet."""
+"""A databank: a folder with the ``series`` and ``private_tag`` tables as Parquet, plain or laid out for upkeep (``Bank``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import store
+from ..scratch import delete, make_folder, save
+
 SERIES, TAGS = "series", "private_tag"
 
 
@@ -25,3 +28,110 @@ def read_databank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def schema_evolve(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of both; columns that either lacks are null."""
     return stored.unionByName(new, allowMissingColumns=True)
+
+
+LOTS, BUCKETS = 16, 16
+LOT, KEY = "study_lot", "series_key"
+
+
+class Bank:
+    """A databank whose tables lie in lots by study and, inside them, in buckets by series.
+
+    Rows are appended by a join that reads the stored side where it lies, without
+    shuffling it; a study is deleted by rewriting its lot, and pruning rewrites
+    lots too, each as a dynamic overwrite that leaves the others alone. Rows
+    without a study are a lot's rows as well; files without a series are keyed by
+    their path.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "bank", lots: int = LOTS, buckets: int = BUCKETS):
+        self.spark, self.path, self.name, self.lots, self.buckets = spark, path, name, lots, buckets
+
+    def table(self, kind: str) -> str:
+        return f"{self.name}_{kind}"
+
+    def read(self, kind: str) -> DataFrame:
+        return self.spark.table(self.table(kind))
+
+    def lot(self, study: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(study, F.lit(""))), F.lit(self.lots)).cast("int")
+
+    def _laid(self, rows: DataFrame) -> DataFrame:
+        key = F.coalesce(F.col("series_instance_uid"), F.col("file_path"))
+        return _clean(rows).withColumns({KEY: key, LOT: self.lot(F.col("study_instance_uid"))})
+
+    def open(self, kind: str, like: DataFrame) -> None:
+        """The table over what lies in the folder; made if there is none, with the columns of ``like`` added where it lacks them."""
+        columns = [(c, t) for c, t in like.dtypes if c not in (KEY, LOT)]
+        if not self.spark.catalog.tableExists(self.table(kind)):
+            make_folder(self.spark, f"{self.path}/{kind}")
+            names = ", ".join(f"`{c}` {t}" for c, t in columns)
+            self.spark.sql(
+                f"CREATE TABLE {self.table(kind)} ({names}, {KEY} string, {LOT} int) USING parquet PARTITIONED BY ({LOT}) "
+                f"CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'"
+            )
+            self.spark.sql(f"ALTER TABLE {self.table(kind)} RECOVER PARTITIONS")
+        known = {c.lower() for c in self.read(kind).columns}
+        more = ", ".join(f"`{c}` {t}" for c, t in columns if c.lower() not in known)
+        if more:
+            self.spark.sql(f"ALTER TABLE {self.table(kind)} ADD COLUMNS ({more})")
+
+    def new_rows(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Those of laid rows whose series is not stored."""
+        return rows.join(self.read(kind).select(KEY).distinct(), KEY, "left_anti")
+
+    def _write(self, kind: str, rows: DataFrame, overwrite: bool) -> None:
+        whole = self.read(kind).columns
+        shown = rows.select(*(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(dict(self.read(kind).dtypes)[c]).alias(c) for c in whole))
+        mode, before = "spark.sql.sources.partitionOverwriteMode", self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            # every bucket is written by one task, so a lot gets as many files as it has buckets
+            shown.repartition(self.buckets, KEY).write.insertInto(self.table(kind), overwrite=overwrite)
+        finally:
+            self.spark.conf.set(mode, before)
+
+    def append(self, series: DataFrame, tags: DataFrame | None = None) -> None:
+        """Store the first file of each series that is new, and the tags of these files."""
+        laid = self._laid(series)
+        self.open(SERIES, laid)
+        new = save(self.new_rows(SERIES, store.dedup_series(laid)), "new-series")
+        if tags is not None:
+            kept = self._laid(tags.join(new.select("file_path"), "file_path", "left_semi"))
+            self.open(TAGS, kept)
+            self._write(TAGS, kept, False)
+        self._write(SERIES, new, False)
+
+    def _replace(self, kind: str, left: DataFrame, lots: list[int]) -> None:
+        """``left`` is all that stays of these lots."""
+        left = save(left, "left")
+        filled = {r[LOT] for r in left.select(LOT).distinct().collect()}
+        if filled:
+            self._write(kind, left, True)
+        for lot in set(lots) - filled:  # an overwrite does not reach lots without rows
+            self.spark.sql(f"ALTER TABLE {self.table(kind)} DROP IF EXISTS PARTITION ({LOT} = {lot})")
+            delete(self.spark, f"{self.path}/{kind}/{LOT}={lot}")
+        self.spark.catalog.refreshTable(self.table(kind))
+
+    def delete_study(self, study: str | None) -> int:
+        """Remove a study; how many series went. Only its lot is read and written."""
+        (lot,) = self.spark.range(1).select(self.lot(F.lit(study).cast("string"))).first()
+        gone = F.col("study_instance_uid").eqNullSafe(F.lit(study).cast("string"))
+        count = self.read(SERIES).filter((F.col(LOT) == lot) & gone).count()
+        if count:
+            for kind in (TAGS, SERIES) if self.spark.catalog.tableExists(self.table(TAGS)) else (SERIES,):
+                self._replace(kind, self.read(kind).filter((F.col(LOT) == lot) & ~gone), [lot])
+        return count
+
+    def prune(self, representatives: DataFrame) -> None:
+        """Keep the representatives, flagged, and their tags; with none, all series stay with the flag down."""
+        keys = save(self._laid(representatives.select("series_instance_uid", "file_path", "study_instance_uid")).select(KEY).distinct(), "kept-keys")
+        none = keys.isEmpty()
+        for kind in (TAGS, SERIES) if self.spark.catalog.tableExists(self.table(TAGS)) else (SERIES,):
+            rows = self.read(kind)
+            lots = [r[LOT] for r in rows.select(LOT).distinct().collect()]
+            left = rows if none else rows.join(keys, KEY, "left_semi")
+            if kind == SERIES:
+                self.open(SERIES, rows.limit(0).withColumn("representative_flag", F.lit(0)))
+                left = left.withColumn("representative_flag", F.lit(0 if none else 1))
+            self._replace(kind, left, lots)
