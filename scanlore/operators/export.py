@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as f
 from ..functions import scalars as s
+from ..sources import study_files
 from .filters import export_modality_filter
 from .representative import best_series_per_study_modality
 
@@ -149,6 +150,11 @@ def write_csv(text: DataFrame, path: str) -> None:
     named.repartition("study").sortWithinPartitions("study", "place").drop("place").write.partitionBy("study").option("header", True).csv(path)
 
 
+def write_study_files(text: DataFrame, path: str, mode: str = "append") -> None:
+    """One CSV file for each study, many to a task; ``text`` may be ``sectioned``."""
+    study_files.write_studies(text, labels([x for x in text.columns if x not in ("study", "place")]), path, mode)
+
+
 def json_dump(series: DataFrame, tags: DataFrame, path: str) -> None:
     """All columns with the private tags of each file nested."""
     nested = tags.groupBy("file_path").agg(F.collect_list(F.struct(*(c for c in tags.columns if c != "file_path"))).alias("private_tags"))
