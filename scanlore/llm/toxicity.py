@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY_BYTES, Memo, kept_by_worker, slices, small_batches, utf8
-from .text_model import BLOCK, MEMO_BYTES, _letters, adam, held_out_by, labelled, scored
+from .text_model import MEMO_BYTES, _letters, adam, held_out_by, labelled, scored
 
 #: Bits of the hash of a word or of a part of it; three fit in 64 bits.
 BITS = 20
@@ -45,8 +45,8 @@ DROPPED_WORDS, DROPPED_FILTERS = 0.4, 0.3
 TOLD_BY = 10
 #: Groups of texts that get a threshold of their own, and what a missed text costs in clean ones that are rejected.
 GROUPS, MISSED = 6, 4
-#: Words a worker keeps with their vectors.
-KEPT_WORDS = 1 << 17
+#: Words looked at together, each with the responses of all filters, and words a worker keeps with their vectors.
+BLOCK, KEPT_WORDS = 1 << 14, 1 << 16
 _MASK, _MARKS = (1 << BITS) - 1, string.punctuation.encode()
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
