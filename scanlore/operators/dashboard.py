@@ -156,9 +156,10 @@ FIELDS = ("weight", "dose", "injection_time", "acquisition_time", "radiopharmace
 
 def completeness(rep: DataFrame, series: DataFrame) -> DataFrame:
     """field, have, total: weight, sex and age from the whole study, the rest from its representative."""
-    studies = study_summary(series).select("study_instance_uid", *(F.col(c).alias(f"study_{c}") for c in ("patient_weight", "patient_sex", "patient_age", "patient_birth_date")))
-    tracer = filters.radiopharm_studies(series).withColumn("tracer_study", F.lit(True))
-    rows = rep.drop("study_patient_weight").join(studies, "study_instance_uid", "left").join(tracer, "study_instance_uid", "left")
+    tracer = F.max(F.when(s.is_radiopharm() & s.filled("study_instance_uid"), True)).alias("tracer_study")
+    wanted = ("patient_weight", "patient_sex", "patient_age", "patient_birth_date")
+    studies = series.groupBy("study_instance_uid").agg(*(F.max(c).alias(f"study_{c}") for c in wanted), tracer)
+    rows = rep.drop("study_patient_weight", "tracer_study").join(studies, "study_instance_uid", "left")
     own = rows["radiopharm"]
     have = {
         "weight": s.number("study_patient_weight").isNotNull(),

@@ -46,7 +46,9 @@ def radiopharm_studies(series: DataFrame) -> DataFrame:
 def missing_filter(rep: DataFrame, series: DataFrame, field: str) -> DataFrame:
     """Studies whose representative lacks the field; some fields are only asked of studies with a tracer modality."""
     found = rep.filter(~present(field)).select(UID)
-    return found.join(radiopharm_studies(series), UID, "left_semi") if field in RADIOPHARM_FIELDS else found
+    if field not in RADIOPHARM_FIELDS:
+        return found
+    return rep.filter(~present(field) & F.col("tracer_study")).select(UID) if "tracer_study" in rep.columns else found.join(radiopharm_studies(series), UID, "left_semi")
 
 
 def _issues(rows: DataFrame, issues: dict[str, Column]) -> DataFrame:
@@ -57,8 +59,8 @@ def _issues(rows: DataFrame, issues: dict[str, Column]) -> DataFrame:
 
 def missing_issues(rep: DataFrame, series: DataFrame) -> DataFrame:
     """What ``missing_filter`` finds for every field."""
-    rows = rep.join(radiopharm_studies(series).withColumn("tracer_study", F.lit(True)), UID, "left")
-    asked = lambda field: F.col("tracer_study").isNotNull() if field in RADIOPHARM_FIELDS else F.lit(True)
+    rows = rep if "tracer_study" in rep.columns else rep.join(radiopharm_studies(series).withColumn("tracer_study", F.lit(True)), UID, "left")
+    asked = lambda field: F.coalesce("tracer_study", F.lit(False)) if field in RADIOPHARM_FIELDS else F.lit(True)
     return _issues(rows, {k: ~present(k) & asked(k) for k in PRESENT})
 
 

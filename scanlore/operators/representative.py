@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 
 
-def with_study_weight(rows: DataFrame, series: DataFrame | None = None) -> DataFrame:
-    """Largest weight of the study among ``series`` (else the rows themselves); a row without study has none."""
-    weights = (rows if series is None else series).filter("study_instance_uid IS NOT NULL").groupBy("study_instance_uid").agg(F.max(s.number("patient_weight")).alias("study_patient_weight"))
-    return rows.join(weights, "study_instance_uid", "left")
+def with_study_weight(rows: DataFrame) -> DataFrame:
+    """Largest weight of the study among the rows; a row without study has none."""
+    most = F.max(s.number("patient_weight")).over(Window.partitionBy("study_instance_uid"))
+    return rows.withColumn("study_patient_weight", F.when(F.col("study_instance_uid").isNotNull(), most))
 
 
 def size_order() -> list[Column]:
@@ -24,8 +24,15 @@ def best_row(df: DataFrame, *keys: str) -> DataFrame:
     return ranked.filter("__rn = 1").drop("__rn")
 
 
-def best_row_per_series(series: DataFrame) -> DataFrame:
-    return best_row(series, "series_instance_uid")
+def best_row_per_series(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """The best row of each series; rows without a series are one more group. ``within`` names columns that all rows of a
+    series agree on: rows that lie by these already are not shuffled, and the lone group's row is found on its own."""
+    if not within:
+        return best_row(series, "series_instance_uid")
+    place = F.struct(-F.coalesce("number_of_slices", F.lit(0)), F.col("series_time").isNull(), "series_time", F.col("series_number").isNull(), "series_number", "file_path")
+    lone = series.filter("series_instance_uid IS NULL").agg(F.min_by("file_path", place).alias("__lone"))  # one row
+    kept = F.col("series_instance_uid").isNotNull() | (F.col("file_path") == F.col("__lone"))
+    return best_row(series.crossJoin(F.broadcast(lone)).filter(kept).drop("__lone"), *within, "series_instance_uid")
 
 
 def best_series_per_study_modality(series: DataFrame) -> DataFrame:
@@ -48,17 +55,22 @@ def representative_ingest(series: DataFrame) -> DataFrame:
     return _first_by_score(scored.withColumn("score", _score("dose_per_kg", "delay_minutes", s.is_radiopharm_exact())))
 
 
-def representative_query(series: DataFrame) -> DataFrame:
-    """Scored on the positive delay, the listing dose and the modality in any case, over the best row of each series."""
-    known = with_study_weight(best_row_per_series(series).filter(s.filled("study_instance_uid")), series)
+def representative_query(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Scored on the positive delay, the listing dose and the modality in any case, over the best row of each series.
+
+    tracer_study: whether any series of the study is of a tracer modality.
+    """
+    tracer = F.bool_or(F.coalesce(s.is_radiopharm(), F.lit(False))).over(Window.partitionBy("study_instance_uid"))
+    whole = with_study_weight(series).withColumn("tracer_study", tracer)
+    known = best_row_per_series(whole, within).filter(s.filled("study_instance_uid"))
     scored = known.withColumn("delay_signed", s.delay_signed()).withColumn("dose_per_kg", s.dose_listing())
     scored = scored.withColumn("delay_minutes", F.when(F.col("delay_signed") > 0, F.col("delay_signed")))
     return _first_by_score(scored.withColumn("score", _score("dose_per_kg", "delay_minutes", s.is_radiopharm())))
 
 
-def enriched(series: DataFrame) -> DataFrame:
+def enriched(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Representatives with all that the dashboard and the filters ask of a row."""
-    rep = representative_query(series)
+    rep = representative_query(series, within)
     return rep.select(
         "*",
         s.delay_status(signed="delay_signed").alias("status"),
