@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ class Bank:
     their path.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "bank", lots: int = LOTS, buckets: int = BUCKETS):
-        self.spark, self.path, self.name, self.lots, self.buckets = spark, path, name, lots, buckets
+    def __init__(self, spark: SparkSession, path: str, name: str = "bank", lots: int = LOTS, buckets: int = BUCKETS, within: tuple[str, ...] = ()):
+        self.spark, self.path, self.name, self.lots, self.buckets, self.within = spark, path, name, lots, buckets, within
 
     def table(self, kind: str) -> str:
         return f"{self.name}_{kind}"
@@ -80,34 +82,42 @@ class Bank:
         """Those of laid rows whose series is not stored."""
         return rows.join(self.read(kind).select(KEY).distinct(), KEY, "left_anti")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Every bucket of a lot in one task, so a lot gets as many files as it has buckets and no task holds more than its share of both."""
+        return rows.repartition(self.lots * self.buckets, LOT, F.pmod(F.hash(KEY), F.lit(self.buckets)))
+
     def _write(self, kind: str, rows: DataFrame, overwrite: bool) -> None:
+        """Rows that are dealt already."""
         whole = self.read(kind).columns
         shown = rows.select(*(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(dict(self.read(kind).dtypes)[c]).alias(c) for c in whole))
         mode, before = "spark.sql.sources.partitionOverwriteMode", self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set(mode, "dynamic")
         try:
-            # every bucket is written by one task, so a lot gets as many files as it has buckets
-            shown.repartition(self.buckets, KEY).write.insertInto(self.table(kind), overwrite=overwrite)
+            shown.write.insertInto(self.table(kind), overwrite=overwrite)
         finally:
             self.spark.conf.set(mode, before)
 
-    def append(self, series: DataFrame, tags: DataFrame | None = None) -> None:
-        """Store the first file of each series that is new, and the tags of these files."""
+    def append(self, series: DataFrame, tags: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Store the first file of each series that is new, and the tags of these files: picked out of a table by path, or
+        made by a function of the new files, which are then dealt before they become so many more rows."""
         laid = self._laid(series)
         self.open(SERIES, laid)
-        new = save(self.new_rows(SERIES, store.dedup_series(laid)), "new-series")
+        new = save(self.new_rows(SERIES, store.dedup_series(laid, self.within)), "new-series")
         if tags is not None:
-            kept = self._laid(tags.join(new.select("file_path"), "file_path", "left_semi"))
+            if callable(tags):
+                kept = self._laid(tags(self._dealt(new).select(*series.columns)))
+            else:
+                kept = self._dealt(self._laid(tags.join(new.select("file_path"), "file_path", "left_semi")))
             self.open(TAGS, kept)
             self._write(TAGS, kept, False)
-        self._write(SERIES, new, False)
+        self._write(SERIES, self._dealt(new), False)
 
     def _replace(self, kind: str, left: DataFrame, lots: list[int]) -> None:
         """``left`` is all that stays of these lots."""
         left = save(left, "left")
         filled = {r[LOT] for r in left.select(LOT).distinct().collect()}
         if filled:
-            self._write(kind, left, True)
+            self._write(kind, self._dealt(left), True)
         for lot in set(lots) - filled:  # an overwrite does not reach lots without rows
             self.spark.sql(f"ALTER TABLE {self.table(kind)} DROP IF EXISTS PARTITION ({LOT} = {lot})")
             delete(self.spark, f"{self.path}/{kind}/{LOT}={lot}")
