@@ -80,3 +80,16 @@ def test_bank_deals_files_before_their_tags(spark, tmp_path):
     assert asked[0] == 16 and bank.read(databank.SERIES).count() == 18 and bank.read(databank.TAGS).count() == 36
     for kind in ("SERIES", "TAGS"):
         spark.sql(f"DROP TABLE {bank.table(getattr(databank, kind))}")
+
+
+def test_content_in_memory_is_read_like_ranges_and_private_elements_alone():
+    from scanlore.sources import headers
+    from scanlore.sources.ranges import Ranges
+
+    elements = [(0x00100020, "LO", "P"), (0x00190010, "LO", "ACME"), (0x00191001, "UN", b"ab"), (0x00540016, "SQ", [[(0x00190010, "LO", "NEST")]])]
+    for explicit in (True, False):
+        data = headers.write_header(elements, explicit)
+        by_range = Ranges(lambda at, n, data=data: data[at : at + n], len(data))
+        rows = headers.read_header(data)
+        assert rows == headers.read_header(by_range)
+        assert headers.read_header(data, private=True) == [r for r in rows if r[2] % 2] and len(rows) > 3
