@@ -96,7 +96,7 @@ def _bytes(texts: Iterable[str]) -> Column:
     return each.cast("long")
 
 
-def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS, held: Column | None = None) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS, *, held: Column | None = None) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
 
     Groups are broadcast when there are ``most`` at most and their bytes are

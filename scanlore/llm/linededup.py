@@ -139,7 +139,7 @@ def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     common = save(boilerplate(prepared.select("host", "lines"), hosts, ratio), "boilerplate")
     known = save(hosts.join(by_bucket(common), "host", "left"), "buckets")
     held = F.coalesce(F.aggregate("buckets", F.lit(0).cast("long"), lambda n, x: n + 16 + 40 * F.size(x)), F.lit(0).cast("long"))
-    found = matched(prepared, known, "host", "host_pages", "left", BROADCAST_HOSTS, held)
+    found = matched(prepared, known, "host", "host_pages", "left", BROADCAST_HOSTS, held=held)
 
     def stays(line: Column) -> Column:
         h = _hash(line)

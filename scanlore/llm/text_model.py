@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -43,15 +44,13 @@ class Words:
         return np.array([i for x in data.split() for i in memo[x]], np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, prepare: Callable[[bytes], np.ndarray] | None = None) -> list[tuple]:
-    """A sample of labelled whole texts, as many of each label as the bound allows; rows held out are never in it.
+def _sample(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str, text: str, rows: int) -> DataFrame:
+    """o, y, t: a sample of labelled whole texts, as many of each label as the bound allows; rows held out are never in it.
 
     The bound is ``rows``, half of which may be of either label, and
     SAMPLE_BYTES of their texts in all; texts over SAMPLE_TEXT_BYTES are not
     taken. Where an id repeats, one of its texts, the one with the smallest
     hash, counts once for each of its labels; null labels are left out.
-    ``prepare`` is applied in the tasks to each text; its array (of int32 or
-    double) is returned in the text's place.
     """
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("id"), F.col(label).alias("y")).distinct()
     best = [chosen.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(rows // 2) for y in (0, 1)]
@@ -59,19 +58,54 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str
     fine = docs.select(F.col(key).alias("id"), utf8(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
     # an id may repeat in any number of rows: its texts are reduced in the tasks, before anything is collected
     least = fine.join(picked, "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"))
+    return least.select(F.xxhash64("id").alias("o"), "y", F.col("least.t").alias("t"))
+
+
+def _within_bytes(tmp: Scratch, sample: DataFrame) -> DataFrame:
+    """The first rows of a sample, by hash and label, as many as hold SAMPLE_BYTES."""
+    single = tmp.save(sample, "sample")
+    sizes = single.select("o", "y", F.octet_length("t").alias("n")).orderBy("o", "y").collect()  # three numbers for each row
+    ends = np.cumsum([r["n"] for r in sizes])
+    last = int(np.searchsorted(ends, SAMPLE_BYTES, side="right"))
+    if last == len(sizes):
+        return single
+    o, y = sizes[last]["o"], sizes[last]["y"]
+    return single.filter((F.col("o") < o) | ((F.col("o") == o) & (F.col("y") < y)))
+
+
+def _pairs(found: list[tuple]) -> list[tuple]:
+    """Texts, or what was made of them, with labels in an order that reruns agree on."""
+    return [(x, y) for _, y, x in sorted(found, key=lambda r: (r[0], r[1], bytes(r[2])))]
+
+
+def _array(data: bytes, whole: bool) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if whole else np.float64)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, prepare: Callable[[bytes], np.ndarray] | None = None) -> list[tuple]:
+    """The sample of ``_sample`` at the driver, as pairs of text and label.
+
+    ``prepare`` is applied in the tasks to each text; its array (of int32 or
+    double) is returned in the text's place.
+    """
     with Scratch(docs.sparkSession) as tmp:
-        single = tmp.save(least.select(F.xxhash64("id").alias("o"), "y", F.col("least.t").alias("t")), "sample")
-        sizes = single.select("o", "y", F.octet_length("t").alias("n")).orderBy("o", "y").collect()  # three numbers for each of ``rows``
-        ends = np.cumsum([r["n"] for r in sizes])
-        last = int(np.searchsorted(ends, SAMPLE_BYTES, side="right"))
-        if last < len(sizes):
-            o, y = sizes[last]["o"], sizes[last]["y"]
-            single = single.filter((F.col("o") < o) | ((F.col("o") == o) & (F.col("y") < y)))
+        single = _within_bytes(tmp, _sample(docs, labels, label, held_out, key, text, rows))
         if prepare is None:
-            found = [(r["o"], int(r["y"]), bytes(r["t"])) for r in single.collect()]
-        else:
-            found = [(r["o"], int(r["y"]), np.frombuffer(r["x"], np.int32 if r["whole"] else np.float64)) for r in _prepared(single, prepare).collect()]
-    return [(x, y) for _, y, x in sorted(found, key=lambda r: (r[0], r[1], bytes(r[2])))]
+            return _pairs([(r["o"], int(r["y"]), bytes(r["t"])) for r in single.collect()])
+        return _pairs([(r["o"], int(r["y"]), _array(r["x"], r["whole"])) for r in _prepared(single, prepare).collect()])
+
+
+def learned(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str, text: str, prepare: Callable[[bytes], np.ndarray], fit: Callable[[list[tuple]], dict]) -> dict:
+    """``fit`` of what ``labelled`` gives, in one task: the sample is bounded, and the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(o, y, _array(x, whole)) for b in batches for o, y, x, whole in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_pairs(found)))], pa.binary())], names=["model"])
+
+    with Scratch(docs.sparkSession) as tmp:
+        single = _within_bytes(tmp, _sample(docs, labels, label, held_out, key, text, SAMPLE_ROWS))
+        made = map_batches(_prepared(single, prepare).repartition(1), run, "model binary").first()
+    return fit([]) if made is None else pickle.loads(made["model"])
 
 
 def _prepared(single: DataFrame, prepare: Callable[[bytes], np.ndarray]) -> DataFrame:

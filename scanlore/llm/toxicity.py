@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY_BYTES, Memo, kept_by_worker, slices, small_batches, utf8
-from .text_model import MEMO_BYTES, _letters, adam, held_out_by, labelled, scored
+from .text_model import MEMO_BYTES, _letters, adam, held_out_by, learned, scored
 
 #: Bits of the hash of a word or of a part of it; three fit in 64 bits.
 BITS = 20
@@ -360,7 +360,7 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out, key: str, text: str) -> dict:
-    return train(labelled(docs, labels, "toxic", held_out, key, text, prepare=prepared))
+    return learned(docs, labels, "toxic", held_out, key, text, prepared, train)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
