@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The layout of an element's head and of an item's head, and the limits that are read.
@@ -55,6 +56,11 @@ def write_csa(elements: list[tuple[str, str, list[str]]], signed: bool = True) -
     return out
 
 
+def _by_name(raw: bytes | None) -> dict[str, list]:
+    """vr, vm and values by name; a name given again replaces the earlier one."""
+    return {name: rest for name, *rest in read_csa(bytes(raw or b""))}
+
+
 def csa_elements(payloads: DataFrame) -> DataFrame:
     """file_path, name, vr, vm, pos, value from ``payloads`` (file_path, value_bytes); a name given again replaces the earlier one."""
 
@@ -62,8 +68,7 @@ def csa_elements(payloads: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, raw in zip(batch["file_path"], batch["value_bytes"], strict=True):
-                found = {name: rest for name, *rest in read_csa(bytes(raw or b""))}
-                rows += [(path, name, vr or None, vm, i, v) for name, (vr, vm, values) in found.items() for i, v in enumerate(values or [None])]
+                rows += [(path, name, vr or None, vm, i, v) for name, (vr, vm, values) in _by_name(raw).items() for i, v in enumerate(values or [None])]
             yield pd.DataFrame(rows, columns=["file_path", "name", "vr", "vm", "pos", "value"])
 
     return payloads.select("file_path", "value_bytes").mapInPandas(run, "file_path string, name string, vr string, vm long, pos int, value string")
@@ -75,9 +80,34 @@ def csa_json(elements: DataFrame, payloads: DataFrame | None = None) -> DataFram
     held = named.groupBy("file_path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("vr", "vm", "values"))))).alias("elements"))
     if payloads is None:
         return held.select("file_path", F.to_json("elements").alias("elements"))
-    kind = F.when(F.substring("value_bytes", 1, 4) == F.lit(b"SV10"), "CSA2").otherwise("CSA1")
     whole = F.struct("format", F.size("elements").alias("element_count"), "elements")
-    return held.join(payloads.select("file_path", kind.alias("format")), "file_path").select("file_path", F.to_json(whole).alias("elements"))
+    return held.join(payloads.select("file_path", _kind().alias("format")), "file_path").select("file_path", F.to_json(whole).alias("elements"))
+
+
+def _kind() -> Column:
+    return F.when(F.substring("value_bytes", 1, 4) == F.lit(b"SV10"), "CSA2").otherwise("CSA1")
+
+
+NESTED = pa.list_(pa.struct([("name", pa.string()), ("vr", pa.string()), ("vm", pa.int64()), ("values", pa.list_(pa.string()))]))
+
+
+def csa_documents(payloads: DataFrame) -> DataFrame:
+    """file_path, elements (JSON text with format and number, as ``csa_json`` of both gives it) and csa_hash of each payload that has elements.
+
+    A payload's elements are nested where it is read, so nothing is shuffled, and
+    payloads that share a path are told apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"name": name, "vr": vr or None, "vm": vm, "values": values or [None]} for name, (vr, vm, values) in sorted(_by_name(raw.as_py()).items())] for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, NESTED)], names=["file_path", "value_bytes", "nested"])
+
+    schema = "file_path string, value_bytes binary, nested array<struct<name:string,vr:string,vm:bigint,values:array<string>>>"
+    read = payloads.select("file_path", "value_bytes").mapInArrow(run, schema).filter(F.size("nested") > 0)
+    elements = F.map_from_entries(F.transform("nested", lambda x: F.struct(x["name"], F.struct(x["vr"].alias("vr"), x["vm"].alias("vm"), x["values"].alias("values")))))
+    whole = F.struct(_kind().alias("format"), F.size("nested").alias("element_count"), elements.alias("elements"))
+    return read.select("file_path", F.to_json(whole).alias("elements"), F.sha2("value_bytes", 256).alias("csa_hash"))
 
 
 def csa_hash(payloads: DataFrame) -> DataFrame:
