@@ -24,15 +24,22 @@ def best_row(df: DataFrame, *keys: str) -> DataFrame:
     return ranked.filter("__rn = 1").drop("__rn")
 
 
-def best_row_per_series(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def best_row_per_series(series: DataFrame, within: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
     """The best row of each series; rows without a series are one more group. ``within`` names columns that all rows of a
-    series agree on: rows that lie by these already are not shuffled, and the lone group's row is found on its own."""
+    series agree on: rows that lie by these already are not shuffled, and the lone group's row is found on its own.
+    ``unique`` says that no series has more rows than one, as behind ``dedup_series``: then only the lone group is reduced."""
     if not within:
         return best_row(series, "series_instance_uid")
+    kept = _with_one_lone(series)
+    return kept if unique else best_row(kept, *within, "series_instance_uid")
+
+
+def _with_one_lone(series: DataFrame) -> DataFrame:
+    """All rows with a series and the best one of those without."""
     place = F.struct(-F.coalesce("number_of_slices", F.lit(0)), F.col("series_time").isNull(), "series_time", F.col("series_number").isNull(), "series_number", "file_path")
     lone = series.filter("series_instance_uid IS NULL").agg(F.min_by("file_path", place).alias("__lone"))  # one row
     kept = F.col("series_instance_uid").isNotNull() | (F.col("file_path") == F.col("__lone"))
-    return best_row(series.crossJoin(F.broadcast(lone)).filter(kept).drop("__lone"), *within, "series_instance_uid")
+    return series.crossJoin(F.broadcast(lone)).filter(kept).drop("__lone")
 
 
 def best_series_per_study_modality(series: DataFrame) -> DataFrame:
@@ -55,22 +62,22 @@ def representative_ingest(series: DataFrame) -> DataFrame:
     return _first_by_score(scored.withColumn("score", _score("dose_per_kg", "delay_minutes", s.is_radiopharm_exact())))
 
 
-def representative_query(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def representative_query(series: DataFrame, within: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
     """Scored on the positive delay, the listing dose and the modality in any case, over the best row of each series.
 
     tracer_study: whether any series of the study is of a tracer modality.
     """
     tracer = F.bool_or(F.coalesce(s.is_radiopharm(), F.lit(False))).over(Window.partitionBy("study_instance_uid"))
     whole = with_study_weight(series).withColumn("tracer_study", tracer)
-    known = best_row_per_series(whole, within).filter(s.filled("study_instance_uid"))
+    known = best_row_per_series(whole, within, unique).filter(s.filled("study_instance_uid"))
     scored = known.withColumn("delay_signed", s.delay_signed()).withColumn("dose_per_kg", s.dose_listing())
     scored = scored.withColumn("delay_minutes", F.when(F.col("delay_signed") > 0, F.col("delay_signed")))
     return _first_by_score(scored.withColumn("score", _score("dose_per_kg", "delay_minutes", s.is_radiopharm())))
 
 
-def enriched(series: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def enriched(series: DataFrame, within: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
     """Representatives with all that the dashboard and the filters ask of a row."""
-    rep = representative_query(series, within)
+    rep = representative_query(series, within, unique)
     return rep.select(
         "*",
         s.delay_status(signed="delay_signed").alias("status"),

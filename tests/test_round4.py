@@ -63,3 +63,23 @@ def test_vendor_documents_are_nested_where_they_are_read(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     # payloads that share a path are two
     assert vendor.csa_documents(payloads.unionAll(payloads)).count() == 4
+
+
+@needs_tables
+def test_many_rows_of_files_are_dealt_to_many_tasks(spark, monkeypatch):
+    few = catalog.inputs.files(spark, SF)
+    monkeypatch.setattr(catalog.inputs, "TASK_ROWS", 500)
+    many = catalog.inputs.files(spark, SF)
+    assert many.rdd.getNumPartitions() == 12  # of 6,000 rows; small partitions are not joined again
+    assert sorted(r.file_path for r in many.select("file_path").collect()) == sorted(r.file_path for r in few.select("file_path").collect())
+
+
+@needs_tables
+def test_series_that_are_unique_are_not_sorted_for_their_best_row(spark):
+    from scanlore.operators import representative
+
+    own = catalog.series(spark, SF)
+    plain, unique = (representative.representative_query(own, catalog.WITHIN, x) for x in (False, True))
+    sorts = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("row_number()")
+    assert sorts(unique) < sorts(plain)
+    assert sorted(map(repr, unique.collect())) == sorted(map(repr, plain.collect()))
