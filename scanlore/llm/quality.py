@@ -33,7 +33,7 @@ HIDDEN, PASSES = 24, 60
 
 
 def _words() -> Words:
-    return kept_by_worker(("quality",), lambda: Words(BUCKETS, split_marks=True))
+    return kept_by_worker(("quality",), lambda: Words(BUCKETS))
 
 
 def _index_vectors() -> np.ndarray:
@@ -68,7 +68,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> dict:
         sums, counts = np.zeros(BUCKETS * DIMENSIONS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for start, stop in slices(batch.column(0)):
-                _gather([words.ids(x.as_py()) for x in batch.column(0)[start:stop]], index, sums, counts)
+                _gather(words.ids(batch.column(0)[start:stop].to_pylist()), index, sums, counts)
         both = np.concatenate([sums.reshape(BUCKETS, DIMENSIONS), counts[:, None]], 1).reshape(PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([_packed(x) for x in both], pa.binary())], names=["part", "task", "data"])
 
@@ -107,11 +107,16 @@ WIDTH = 2 * DIMENSIONS + 5
 
 def pooled(model: dict, text: bytes) -> np.ndarray:
     """Weighted mean and spread of the words' vectors, and how alike words are to those next to them."""
-    ids = _words().ids(text)
+    return _pooled(model, _words().ids([text])[0])
+
+
+def _pooled(model: dict, ids: np.ndarray) -> np.ndarray:
     out = np.zeros(WIDTH)
     if not len(ids):
         return out
     total, square, mass, turn, echo = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0, 0.0
+    seen = np.zeros(BUCKETS, bool)
+    seen[ids] = True
     for start in range(0, len(ids), BLOCK):
         block = ids[start : start + BLOCK]
         v, w = model["vectors"][block], model["weight"][block]
@@ -124,7 +129,7 @@ def pooled(model: dict, text: bytes) -> np.ndarray:
     mean = total / mass
     out[:DIMENSIONS] = mean
     out[DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(0, square / mass - mean**2))
-    out[2 * DIMENSIONS :] = mass / len(ids), turn / len(ids), echo / len(ids), np.log1p(len(ids)) / 10, len(np.unique(ids)) / len(ids)
+    out[2 * DIMENSIONS :] = mass / len(ids), turn / len(ids), echo / len(ids), np.log1p(len(ids)) / 10, np.count_nonzero(seen) / len(ids)
     return out
 
 
@@ -172,7 +177,7 @@ def _loss(p: np.ndarray, y: np.ndarray) -> float:
 def score(model: dict, texts: list[bytes]) -> np.ndarray:
     if "net" not in model:
         return np.full(len(texts), model["prior"])
-    x = np.array([pooled(model, t) for t in texts]).reshape(len(texts), WIDTH)
+    x = np.array([_pooled(model, ids) for ids in _words().ids(texts)]).reshape(len(texts), WIDTH)
     return _sigmoid(_logits(model["net"], (x - model["mid"]) / model["scale"]) / model["temperature"])
 
 

@@ -12,7 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, map_batches, slices, utf8
+from .common import Scratch, map_batches, slices, utf8
+from .wordscan import pieces
 
 #: Labelled rows a classifier learns from at most: those with the smallest hashes.
 SAMPLE_ROWS = 6000
@@ -23,25 +24,87 @@ MEMO_BYTES = 48 << 20
 #: Words looked at together.
 BLOCK = 1 << 16
 
+#: Bytes of texts whose words are told together, and of a word whose hash is taken with those of others.
+WORDS_BYTES, SHORT = 1 << 18, 64
+
 _letters = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+").findall
+_spaced = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+
+
+def _kinds() -> np.ndarray:
+    """By code point: 0 for white space, 1 for letters, marks and digits, 2 for all else."""
+    every, found = "".join(map(chr, range(0x110000))), np.full(0x110000, 2, np.uint8)
+    for kind, pattern in enumerate((r"\s+", r"[\p{L}\p{M}\p{N}]+")):
+        for m in regex.finditer(pattern, every):
+            found[m.start() : m.end()] = kind
+    return found
+
+
+def _crc_table() -> np.ndarray:
+    found = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        found = np.where(found & np.uint32(1), found >> np.uint32(1) ^ np.uint32(0xEDB88320), found >> np.uint32(1))
+    return found
+
+
+def _crcs(data: np.ndarray, first: np.ndarray, size: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``zlib.crc32`` of many pieces of ``data``, byte by byte for all that are that long; long ones singly."""
+    capped = np.minimum(size, SHORT + 1)
+    order = np.argsort((SHORT + 1 - capped).astype(np.uint8), kind="stable")
+    over = len(size) - np.cumsum(np.bincount(capped, minlength=SHORT + 2))  # how many are longer than 0, 1, 2 bytes and so on
+    long = int(over[SHORT])
+    at, crc = first[order[long:]], np.full(len(size) - long, 0xFFFFFFFF, np.uint32)
+    for i in range(SHORT):
+        n = int(over[i]) - long
+        if not n:
+            break
+        crc[:n] = table[(crc[:n] ^ data[at[:n] + i]) & np.uint32(255)] ^ crc[:n] >> np.uint32(8)
+    found = np.empty(len(size), np.uint32)
+    found[order[long:]] = ~crc
+    for i in order[:long]:
+        found[i] = zlib.crc32(data[first[i] : first[i] + size[i]])
+    return found
 
 
 class Words:
-    """Ids of words from hashes; whole chunks between white space are kept in a bounded memo."""
-
-    def __init__(self, buckets: int, split_marks: bool):
-        self.buckets, self.split_marks = buckets, split_marks
-        self.memo = Memo(self._ids, MEMO_BYTES, lambda ids: 40 * len(ids))
+    """Ids of words from hashes, of many texts at a time: a word is a run of letters, marks and digits, or of what else is no white space.
 
-    def _ids(self, chunk: bytes) -> tuple[int, ...]:
-        found = _letters(chunk.decode("utf-8", "replace").lower())
-        if not self.split_marks:
-            found = [x for x in found if x[0].isalnum()] or found[:1]
-        return tuple(zlib.crc32(x.encode()) % self.buckets for x in found)
+    Each word costs the same whether it was seen before or not, so what a
+    worker does grows with the texts and not with their vocabulary.
+    """
 
-    def ids(self, data: bytes) -> np.ndarray:
-        memo = self.memo
-        return np.array([i for x in data.split() for i in memo[x]], np.int32)
+    def __init__(self, buckets: int):
+        self.buckets, self.kinds, self.table = buckets, _kinds(), _crc_table()
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        owners, parts, held = [], [], 0
+        for i, text in enumerate(texts):
+            for _, part in pieces(text.translate(_spaced), WORDS_BYTES):
+                owners.append(i)
+                parts.append(part.decode("utf-8", "replace").lower())
+                held += len(part)
+                if held >= WORDS_BYTES:
+                    self._add(found, owners, parts)
+                    owners, parts, held = [], [], 0
+        if parts:
+            self._add(found, owners, parts)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+    def _add(self, found: list[list[np.ndarray]], owners: list[int], parts: list[str]) -> None:
+        whole = f" {' '.join(parts)} "
+        data = np.frombuffer(whole.encode(), np.uint8)
+        kind = self.kinds[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+        edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        runs = np.flatnonzero(kind[edges[:-1]])
+        first, last = edges[runs], edges[runs + 1]
+        ends = np.searchsorted(first, np.cumsum([len(x) + 1 for x in parts]))
+        if len(data) != len(kind):
+            place = np.flatnonzero(data & 0xC0 != 0x80)  # where each character begins
+            first, last = place[first], place[last]
+        ids = (_crcs(data, first, last - first, self.table) % np.uint32(self.buckets)).astype(np.int32)
+        for owner, x in zip(owners, np.split(ids, ends[:-1]), strict=True):
+            found[owner].append(x)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, held_out, key: str, text: str, rows: int) -> DataFrame:
