@@ -96,7 +96,7 @@ def _bytes(texts: Iterable[str]) -> Column:
     return each.cast("long")
 
 
-def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS, *, held: Column | None = None) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, how: str, most: int = BROADCAST_ROWS, *held: Column) -> DataFrame:
     """``rows`` joined to ``groups`` (one row for each key, column ``n``: how many rows have it).
 
     Groups are broadcast when there are ``most`` at most and their bytes are
@@ -104,7 +104,9 @@ def matched(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, ho
     text. Else the largest are, as many as are within both bounds and hold more
     than an even share of the rows, and their rows leave the join that shuffles.
     """
-    size = _bytes(_texts(groups)) if held is None else _bytes(_texts(groups)) + held
+    size = _bytes(_texts(groups))
+    for each in held:
+        size = size + each
     count, total, whole = groups.agg(F.count("*"), F.sum(n), F.sum(size)).first()
     if count <= most and (whole or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), key, how)
