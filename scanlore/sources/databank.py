@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
-from ..scratch import delete, make_folder, save
+from ..scratch import Scratch, delete, make_folder, shuffles_let_go
 
 SERIES, TAGS = "series", "private_tag"
 
@@ -41,7 +41,9 @@ class Bank:
 
     Rows are appended by a join that reads the stored side where it lies, without
     shuffling it; a study is deleted by rewriting its lot, and pruning rewrites
-    lots too, each as a dynamic overwrite that leaves the others alone. Rows
+    lots too, one after the other, each as a dynamic overwrite that leaves the
+    others alone. What is rewritten stays in its buckets and is not shuffled, and
+    what is written or shuffled on the way is gone at the end. Rows
     without a study are a lot's rows as well; files without a series are keyed by
     their path.
     """
@@ -70,7 +72,7 @@ class Bank:
             names = ", ".join(f"`{c}` {t}" for c, t in columns)
             self.spark.sql(
                 f"CREATE TABLE {self.table(kind)} ({names}, {KEY} string, {LOT} int) USING parquet PARTITIONED BY ({LOT}) "
-                f"CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'"
+                f"CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS OPTIONS (compression 'zstd') LOCATION '{self.path}/{kind}'"
             )
             self.spark.sql(f"ALTER TABLE {self.table(kind)} RECOVER PARTITIONS")
         known = {c.lower() for c in self.read(kind).columns}
@@ -102,23 +104,23 @@ class Bank:
         made by a function of the new files, which are then dealt before they become so many more rows."""
         laid = self._laid(series)
         self.open(SERIES, laid)
-        new = save(self.new_rows(SERIES, store.dedup_series(laid, self.within)), "new-series")
-        if tags is not None:
-            if callable(tags):
-                kept = self._laid(tags(self._dealt(new).select(*series.columns)))
-            else:
-                kept = self._dealt(self._laid(tags.join(new.select("file_path"), "file_path", "left_semi")))
-            self.open(TAGS, kept)
-            self._write(TAGS, kept, False)
-        self._write(SERIES, self._dealt(new), False)
-
-    def _replace(self, kind: str, left: DataFrame, lots: list[int]) -> None:
-        """``left`` is all that stays of these lots."""
-        left = save(left, "left")
-        filled = {r[LOT] for r in left.select(LOT).distinct().collect()}
-        if filled:
-            self._write(kind, self._dealt(left), True)
-        for lot in set(lots) - filled:  # an overwrite does not reach lots without rows
+        with shuffles_let_go(self.spark), Scratch(self.spark) as own:
+            new = own.save(self.new_rows(SERIES, store.dedup_series(laid, self.within)), "new-series")
+            if tags is not None:
+                if callable(tags):
+                    kept = self._laid(tags(self._dealt(new).select(*series.columns)))
+                else:
+                    kept = self._dealt(self._laid(tags.join(new.select("file_path"), "file_path", "left_semi")))
+                self.open(TAGS, kept)
+                self._write(TAGS, kept, False)
+            self._write(SERIES, self._dealt(new), False)
+
+    def _replace(self, kind: str, left: DataFrame, lot: int) -> None:
+        """``left``, rows of a lot that lie in its buckets, is all that stays of it. A dynamic overwrite replaces a lot when all is
+        written, so it may read what it replaces."""
+        if not left.isEmpty():
+            self._write(kind, left, True)
+        else:  # an overwrite does not reach lots without rows
             self.spark.sql(f"ALTER TABLE {self.table(kind)} DROP IF EXISTS PARTITION ({LOT} = {lot})")
             delete(self.spark, f"{self.path}/{kind}/{LOT}={lot}")
         self.spark.catalog.refreshTable(self.table(kind))
@@ -130,18 +132,19 @@ class Bank:
         count = self.read(SERIES).filter((F.col(LOT) == lot) & gone).count()
         if count:
             for kind in (TAGS, SERIES) if self.spark.catalog.tableExists(self.table(TAGS)) else (SERIES,):
-                self._replace(kind, self.read(kind).filter((F.col(LOT) == lot) & ~gone), [lot])
+                self._replace(kind, self.read(kind).filter((F.col(LOT) == lot) & ~gone), lot)
         return count
 
     def prune(self, representatives: DataFrame) -> None:
         """Keep the representatives, flagged, and their tags; with none, all series stay with the flag down."""
-        keys = save(self._laid(representatives.select("series_instance_uid", "file_path", "study_instance_uid")).select(KEY).distinct(), "kept-keys")
-        none = keys.isEmpty()
-        for kind in (TAGS, SERIES) if self.spark.catalog.tableExists(self.table(TAGS)) else (SERIES,):
-            rows = self.read(kind)
-            lots = [r[LOT] for r in rows.select(LOT).distinct().collect()]
-            left = rows if none else rows.join(keys, KEY, "left_semi")
-            if kind == SERIES:
-                self.open(SERIES, rows.limit(0).withColumn("representative_flag", F.lit(0)))
-                left = left.withColumn("representative_flag", F.lit(0 if none else 1))
-            self._replace(kind, left, lots)
+        with shuffles_let_go(self.spark), Scratch(self.spark) as own:
+            keys = own.save(self._laid(representatives.select("series_instance_uid", "file_path", "study_instance_uid")).select(KEY).distinct(), "kept-keys")
+            none = keys.isEmpty()
+            self.open(SERIES, self.read(SERIES).limit(0).withColumn("representative_flag", F.lit(0)))
+            for kind in (TAGS, SERIES) if self.spark.catalog.tableExists(self.table(TAGS)) else (SERIES,):
+                lots = [r[LOT] for r in self.read(kind).select(LOT).distinct().collect()]
+                for lot in [] if none and kind == TAGS else sorted(lots):
+                    rows = self.read(kind).filter(F.col(LOT) == lot)
+                    # the hint leaves rows in their buckets; keys are dealt to these
+                    left = rows if none else rows.join(keys.hint("shuffle_hash"), KEY, "left_semi")
+                    self._replace(kind, left.withColumn("representative_flag", F.lit(0 if none else 1)) if kind == SERIES else left, lot)
